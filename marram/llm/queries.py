@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import exact_dedup, host_reputation, mixing, quality
+from marram.llm import exact_dedup, host_reputation, mixing, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def tokenizer() -> dict[str, str]:
+    """The byte-level BPE with 50,257 ids: the file of ranks gives the same ids as byte_bpe_50k.json, and faster."""
+    import public_tokenizers
+
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op8_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), **tokenizer())
+
+
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the quality labels whose doc_id is the page's page_id."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
