@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import exact_dedup, host_reputation, mixing, packing, quality
+from marram.llm import exact_dedup, host_reputation, jaccard, mixing, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def tokenizer() -> dict[str, str]:
     """The byte-level BPE with 50,257 ids: the file of ranks gives the same ids as byte_bpe_50k.json, and faster."""
     import public_tokenizers
