@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,11 @@ def skew_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") ->
     return warm.unionByName(cold.select(*warm.columns))
 
 
+def n_buckets(rows: int) -> int:
+    """Into how many buckets to deal a group of so many rows: as many as a bucket has rows, but 1000 rows each at least."""
+    return max(1, rows // max(1000, isqrt(rows)))
+
+
 def running(rows: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column | None = None, into: str = "_before") -> DataFrame:
     """Add, for each row, the sum of value over the group's rows before it, as a long; value is 1 if not given.
 

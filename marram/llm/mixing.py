@@ -8,12 +8,10 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import fresh, running, written
+from marram.llm.common import fresh, n_buckets, running, written
 
 #: Characters of a block; sources beyond MOST_SOURCES by size are scheduled as one; weights are shares of PERIOD slots.
 BLOCK_CHARS, MOST_SOURCES, PERIOD = 100_000, 64, 1000
-#: Rows of a bucket within a source: what one task sorts at once.
-BUCKET_ROWS = 20_000
 
 
 def whole_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -108,7 +106,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col
         shares[""] = max(totals[""][0], 1) ** temperature if weights is None else sum(shares.values()) / max(1, len(shares))
     whole = whole_weights({s: w for s, w in shares.items() if s in totals}) if totals else {}
     counts = {s: max(1, -(-c // block_chars)) for s, (c, _) in totals.items()}
-    buckets = max(1, -(-max((n for _, n in totals.values()), default=0) // BUCKET_ROWS))
+    buckets = n_buckets(max((n for _, n in totals.values()), default=0))
     placed = running(rows.withColumn("stream", stream), ["stream"], F.floor((F.col("deal") / 2.0**64 + 0.5) * buckets), [F.col("deal"), F.col("row")], F.col("chars"), "_before")
     last = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, n - 1)])[F.col("stream")] if counts else F.lit(0)
     placed = placed.withColumn("block", F.least(F.floor(F.col("_before") / block_chars), last).cast("long"))

@@ -17,13 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import running, written
+from marram.llm.common import n_buckets, running, written
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights, and the step of the weights.
 ROUNDS, STEP = 400, 0.3
-#: Pieces of one length in a bucket: what one task numbers at once.
-BUCKET_ROWS = 20_000
 
 _state: dict = {}
 
@@ -176,7 +174,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, id_col:
     """
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = cut.sparkSession.createDataFrame(places(plan(histogram, capacity, rounds)), "size long, first long, until long, seq long, each long, base long")
-    buckets = max(1, -(-max(histogram.values(), default=0) // BUCKET_ROWS))
+    buckets = n_buckets(max(histogram.values(), default=0))
     rows = running(cut, ["length"], F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)), [F.col(id_col), F.col("piece"), F.col("row")], None, "_rank")
     rows = rows.join(F.broadcast(table), (F.col("length") == F.col("size")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("until")))
     inside = F.col("_rank") - F.col("first")
