@@ -52,12 +52,13 @@ def repeated_words(words: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(twice, F.get(h, i)))
 
     def by_sort(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return let(pairs, lambda p: F.array_sort(F.transform(F.filter(F.transform(p, lambda x, k: F.struct((x["h"].eqNullSafe(F.get(p, k - 1)["h"]) | x["h"].eqNullSafe(F.get(p, k + 1)["h"])).alias("again"), x["i"].alias("i"))), lambda x: x["again"]), lambda x: x["i"])))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return let(pairs, lambda p: F.sort_array(F.transform(F.filter(F.transform(p, lambda x, k: F.struct((x["h"].eqNullSafe(F.get(p, k - 1)["h"]) | x["h"].eqNullSafe(F.get(p, k + 1)["h"])).alias("again"), x["i"].alias("i"))), lambda x: x["again"]), lambda x: x["i"])))
 
     def from_hashes(h: Column) -> Column:
         none = F.lit(0).cast("long")
-        some = let(F.array_sort(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: x.eqNullSafe(F.get(s, k - 1)))))
+        again = let(F.sort_array(h), lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x == y, x)))
+        some = F.array_compact(F.array_distinct(again))
         return let(some, lambda t: F.when(F.size(t) == 0, none).when(F.size(t) <= 64, let(by_list(h, t), spread)).otherwise(let(by_sort(h), spread)))
 
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import exact_dedup, host_reputation, jaccard, knlm, mixing, packing, pii, quality
+from marram.llm import exact_dedup, host_reputation, jaccard, knlm, linededup, mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,12 @@ def op8_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), **tokenizer())
 
 
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = linededup.without_wide_lines(docs)
+    return out.select("doc_id", "removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the quality labels whose doc_id is the page's page_id."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))

@@ -18,6 +18,21 @@ WINDOW w AS (PARTITION BY sha ORDER BY chars DESC, doc_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """
 
+#: op9: lines on at least ten sources go.
+OP9 = r"""
+WITH parts AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+bare AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS b FROM parts),
+wide AS (SELECT b FROM bare WHERE b <> '' GROUP BY b HAVING count(DISTINCT source) >= 10),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE w.b IS NOT NULL) AS removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE w.b IS NULL), '') AS text
+  FROM bare LEFT JOIN wide w ON bare.b = w.b GROUP BY doc_id)
+SELECT doc_id, removed, length(text) AS n_chars, sha256(text) AS text_sha256 FROM kept
+"""
+
 #: op10: rules by a CASE from the longest to the shortest; reputation by four levels of group-by.
 OP10 = r"""
 WITH u AS (
@@ -70,4 +85,4 @@ FROM j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op10_host_reputation": OP10}
+    return {"op2_exact_dedup": OP2, "op9_line_spread": OP9, "op10_host_reputation": OP10}
