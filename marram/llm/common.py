@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 #: White space of the word definition, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
-#: A key with more than 1/HOT_SHARE of the rows is hot, so there are fewer than HOT_SHARE hot keys.
-HOT_SHARE = 1000
+#: At most so many keys of a join are treated as hot, each with more than so many rows.
+HOT_KEYS, HOT_ROWS = 1000, 100
 
 _own_folder: list[str] = []
 
@@ -51,23 +51,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(key): keys with more than 1/HOT_SHARE of the rows, fewer than HOT_SHARE of them. Nulls are no keys."""
-    least = max(100, rows.count() // HOT_SHARE)
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(key)
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The HOT_KEYS keys with the most rows, if over HOT_ROWS: any other has less than 1/HOT_KEYS of the rows. No nulls."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    return [r[key] for r in counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS).collect()]
 
 
-def skew_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") -> DataFrame:
+def skew_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", hot: list | None = None) -> DataFrame:
     """Join rows to facts, which has at most one narrow row a key, whatever share of the rows one key has.
 
-    The facts of hot keys, fewer than HOT_SHARE of them by definition, are broadcast; the rest is shuffled,
-    where no key has more than 1/HOT_SHARE of the rows. rows is read three times, so pass a written table.
+    The facts of hot keys, HOT_KEYS at most, are broadcast; the rest is shuffled. rows is read up to three times, so pass a
+    written table. hot gives the hot keys of rows where they are known.
     """
-    hot = written(facts.join(F.broadcast(hot_keys(rows, key)), key, "left_semi").withColumn("_hot", F.lit(True)), "hot")
-    tagged = rows.join(F.broadcast(hot), key, "left")
-    warm = tagged.where(F.col("_hot")).drop("_hot")
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key, how)
-    return warm.unionByName(cold.select(*warm.columns))
+    hot = hot_keys(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(facts, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    warm = rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), key, how)
+    return warm.unionByName(rows.where(~is_hot).join(facts.where(~is_hot), key, how))
 
 
 def n_buckets(rows: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import skew_join, written
+from marram.llm.common import hot_keys, skew_join, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,9 +16,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     edges = written(edges, "edges")
+    hubs = hot_keys(edges, "b")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
     while True:
-        near = skew_join(edges.withColumnRenamed("b", "node"), labels, "node")
+        near = skew_join(edges.withColumnRenamed("b", "node"), labels, "node", hot=hubs)
         least = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         joined = written(labels.join(least, "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("up")), "joined")
         jump = joined.select(F.col("node").alias("up"), F.col("up").alias("next"))

@@ -258,11 +258,16 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     other = left.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     more = left.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(other, "key")
     more = more.where((F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & near("na", "nb"))
-    more = written(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    more = written(more.select("a", "b", "ca", "cb").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        extra = written(_verified(more, bodies, threshold), "extra")
-        if not extra.isEmpty():
-            found = written(components(links.union(extra)), "components")
+        extra = _verified(more.select("a", "b"), bodies, threshold).join(more, ["a", "b"])
+        joins = written(extra.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joins")
+        if not joins.isEmpty():  # components of components
+            joined = components(joins).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+            every = found.select("node", "component").union(joins.select("a", "a").union(joins.select("b", "b"))).distinct()
+            every = every.groupBy("node").agg(F.min("component").alias("component"))
+            found = skew_join(written(every, "every"), written(joined, "joined"), "component").select("node", F.coalesce("wider", "component").alias("component"))
+            found = written(found, "components")
     # the smallest id of a component's classes
     named = classes.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = written(named, "named")
