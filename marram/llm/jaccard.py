@@ -5,8 +5,9 @@ each is a key, and sets with a common key are linked by their sizes alone. Large
 A list for each shingle would be long for frequent ones, so a heavy set is dealt into more cells, by hash, than linked sets
 can have differing shingles: linked sets then agree on the content of a cell, and a list holds the sets with that content.
 The boundary is where the subsets of a size cost more than its cells. A list isn't paired out: its smallest set is held
-against the others (exactly, on the whole sets), links join components, and only pairs of a list that then lie in different
-components are held against each other too. So all links between different texts count, in work that follows the lists.
+against the others (exactly, on the whole sets), and links join components. Where sets of a list then lie in different
+components, those outside the main one are held against all in blocks, which hand out joined components only. So all links
+between different texts count, and no table of a group's pairs is made.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from marram.llm.components import components
 CELL_COST = 4.0
 #: Pairs with the same smaller set that one task gets at most.
 CHUNK = 500
+#: Sets of a block of a cluster that one task indexes, about.
+BLOCK = 1000
 #: Ids that are broadcast at most, 8 bytes each; beyond that texts are shuffled to them.
 MOST_BROADCAST = 1_000_000
 
@@ -212,6 +215,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return second.join(first, ["a", "chunk"]).select("a", "b", "ha", "hb").mapInPandas(run, "a long, b long")
 
 
+def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b): components that links join which the first of the lists don't show.
+
+    Lists whose other sets lie in several components are still open; those with the same first make a cluster. Of a
+    cluster, the sets outside its main component are held against all its sets, BLOCK by BLOCK: a task indexes the
+    shingles of a block and runs the other block's sets over it, and only joined components come out, no pairs.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept, index = None, [], None
+        for b in batches:
+            out = set()
+            for p, i, j, right, c, body in b.itertuples(index=False):
+                if (p, i, j) != at:
+                    at, kept, index = (p, i, j), [], None
+                h = np.frombuffer(body, np.uint64)
+                if not right:
+                    kept.append((c, h))
+                elif kept:
+                    if index is None:
+                        owner = np.repeat(np.arange(len(kept)), [len(x) for _, x in kept])
+                        every = np.concatenate([x for _, x in kept])
+                        order = np.argsort(every, kind="stable")
+                        index = every[order], owner[order], np.array([len(x) for _, x in kept]), np.array([x for x, _ in kept])
+                    keys, owner, many, own = index
+                    lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
+                    n = hi - lo
+                    spots = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                    inter = np.bincount(owner[spots], minlength=len(kept))
+                    good = (inter * t.denominator >= t.numerator * (many + len(h) - inter)) & (own != c)
+                    out |= {(min(c, x), max(c, x)) for x in own[good].tolist()}
+            if out:
+                yield pd.DataFrame(sorted(out), columns=["a", "b"])
+
+    members = skew_join(heavy.select("key", "psig", "sig"), found.select(F.col("node").alias("sig"), "component"), "sig").withColumn("component", F.coalesce("component", "sig"))
+    members = written(members, "members")
+    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    members = written(members.join(keys, "key").select("psig", "sig", "component").distinct(), "open")
+    counts = members.groupBy("psig", "component").agg(F.count("*").alias("m"))
+    counts = counts.groupBy("psig").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("component", F.struct("m", "component")).alias("main"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = counts.select("psig", "main", blocks(F.col("all")).alias("rights"), blocks(F.col("all") - F.col("most")).alias("lefts"))
+    rows = skew_join(members, written(counts, "clusters"), "psig")
+    own = lambda n: F.pmod(F.hash("sig"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    right = rows.select("psig", every(F.col("lefts")).alias("i"), own(F.col("rights")).alias("j"), F.lit(True).alias("right"), "component", "sig")
+    left = rows.where("component <> main").select("psig", own(F.col("lefts")).alias("i"), every(F.col("rights")).alias("j"), F.lit(False).alias("right"), "component", "sig")
+    both = right.unionByName(left).join(bodies, "sig").select("psig", "i", "j", "right", "component", "body")
+    both = both.repartition("psig", "i", "j").sortWithinPartitions("psig", "i", "j", "right")
+    return both.mapInPandas(run, "a long, b long").distinct()
+
+
 def _bodies(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
     """(sig, body) for names (id, sig): the sets of these rows, computed again from their texts."""
 
@@ -249,25 +304,13 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     bodies = written(_bodies(docs, written(classes.join(ends, "sig").select("id", "sig"), "ends"), n), "bodies")
     links = written(_verified(pairs, bodies, threshold).union(sure).distinct(), "links")
     found = written(components(links), "components")
-    # pairs of a list that are still apart, and weren't held against each other
-    both = heavy.select("key", "sig", "n").union(heavy.select("key", F.col("psig").alias("sig"), F.col("pn").alias("n"))).distinct()
-    both = skew_join(written(both, "both"), found.select(F.col("node").alias("sig"), "component"), "sig").withColumn("component", F.coalesce("component", "sig"))
-    open_ = written(both, "labelled")
-    keys = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("key")
-    left = written(open_.join(keys, "key"), "open")
-    other = left.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    more = left.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(other, "key")
-    more = more.where((F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & near("na", "nb"))
-    more = written(more.select("a", "b", "ca", "cb").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        extra = _verified(more.select("a", "b"), bodies, threshold).join(more, ["a", "b"])
-        joins = written(extra.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joins")
-        if not joins.isEmpty():  # components of components
-            joined = components(joins).select(F.col("node").alias("component"), F.col("component").alias("wider"))
-            every = found.select("node", "component").union(joins.select("a", "a").union(joins.select("b", "b"))).distinct()
-            every = every.groupBy("node").agg(F.min("component").alias("component"))
-            found = skew_join(written(every, "every"), written(joined, "joined"), "component").select("node", F.coalesce("wider", "component").alias("component"))
-            found = written(found, "components")
+    joins = written(_joins(heavy, found, bodies, threshold), "joins")
+    if not joins.isEmpty():  # components of components
+        joined = components(joins).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        every = found.select("node", "component").union(joins.select("a", "a").union(joins.select("b", "b"))).distinct()
+        every = every.groupBy("node").agg(F.min("component").alias("component"))
+        found = skew_join(written(every, "every"), written(joined, "joined"), "component").select("node", F.coalesce("wider", "component").alias("component"))
+        found = written(found, "components")
     # the smallest id of a component's classes
     named = classes.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = written(named, "named")
