@@ -1,11 +1,237 @@
-"""The registered queries of the retrieval operators, and their SQL."""
+"""The registered queries of the retrieval operators, and their SQL.
+
+Driver tables stand in for retrieved data: pages are hits and fetched pages, conversations hold query texts, benchmark
+passages are longer queries, events give dates, latencies and cache ages.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marram.functions import dates, intent, sources, text, urls
+from marram.operators import network, pages, ranking, redact, summary
+from marram.plans.oracles import ORACLES
+
+#: The query of the rankings: words of the synthetic corpus.
+QUERY = "restes onnd thingha erand ofther nterthing"
+AS_OF = "2024-06-30 00:00:00"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _urls(spark, d):
+    return table(spark, d, "pages").select("page_id", "url")
+
+
+def canonical_url(spark, d):
+    return _urls(spark, d).select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+def citation_url(spark, d):
+    return _urls(spark, d).select("page_id", urls.citation_url(F.col("url")).alias("citation_url"))
+
+
+def evidence_id(spark, d):
+    return _urls(spark, d).select("page_id", urls.evidence_id(F.col("url")).alias("evidence_id"))
+
+
+def domain(spark, d):
+    return _urls(spark, d).select("page_id", urls.domain(F.col("url")).alias("domain"))
+
+
+def root_domain(spark, d):
+    return _urls(spark, d).select("page_id", urls.root_domain(urls.domain(F.col("url"))).alias("root_domain"))
+
+
+def sensitive_key(spark, d):
+    key = F.regexp_extract(F.col("url"), r"[?&]([^=&#]+)=", 1)
+    return _urls(spark, d).select("page_id", key.alias("key"), urls.sensitive_key(key).alias("is_sensitive"))
+
+
+def extract_urls(spark, d):
+    rows = _urls(spark, d).select("page_id", F.concat(F.lit("see ("), F.col("url"), F.lit("), and "), F.col("url"), F.lit(".")).alias("q"))
+    return rows.select("page_id", F.array_join(urls.extract_urls(F.col("q")), " ").alias("urls"))
+
+
+def source_adjustment(spark, d):
+    return _urls(spark, d).select("page_id", F.round(sources.source_adjustment(urls.domain(F.col("url"))), 4).alias("source_adjustment"))
+
+
+def source_profile(spark, d):
+    p = sources.source_profile(F.col("url"), F.lit(""), F.lit("example documentation"))
+    return _urls(spark, d).select("page_id", p.alias("p")).select("page_id", "p.*")
+
+
+def tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"))
+
+
+def lexical_score(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(text.lexical_score(F.lit(QUERY), F.col("text")), 6).alias("lexical_score"))
+
+
+def lexical_rerank(spark, d):
+    out = ranking.lexical_rerank(table(spark, d, "documents"), QUERY, 20)
+    return out.select("doc_id", "position", F.round("rerank_score", 6).alias("rerank_score"), F.round("ranking_score", 6).alias("ranking_score"))
+
+
+def subject_coverage(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(text.subject_coverage(F.lit(QUERY), F.col("text")), 6).alias("subject_coverage"))
+
+
+def _queries(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
+
+
+def mode_for(spark, d):
+    return _queries(spark, d).select("conv_id", "turn", intent.mode_for(F.col("query"), F.lit("auto")).alias("mode"))
+
+
+def temporal_requirement(spark, d):
+    return _queries(spark, d).select("conv_id", "turn", dates.temporal_requirement(F.col("query")).alias("temporal_requirement"))
+
+
+def categories(spark, d):
+    return _queries(spark, d).select("conv_id", "turn", F.array_join(intent.search_categories(F.col("query")), ",").alias("categories"))
+
+
+def engines(spark, d):
+    return _queries(spark, d).select("conv_id", "turn", F.array_join(intent.search_engines(F.col("query"), intent.search_categories(F.col("query")), F.col("query")), ",").alias("engines"))
+
+
+def query_variants(spark, d):
+    return _queries(spark, d).select("conv_id", "turn", F.posexplode(intent.query_variants(F.col("query"), F.lit("deep"))).alias("variant_ix", "variant"))
+
+
+def normalize_date(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("raw"))
+    return rows.select("event_id", dates.normalize_date(F.col("raw")).alias("normalized"))
+
+
+def freshness(spark, d):
+    score = dates.freshness(F.date_trunc("second", F.col("ts")), F.when(F.col("user_id") % 2 == 0, "high").otherwise("moderate"), F.lit(AS_OF).cast("timestamp"))
+    return table(spark, d, "events").select("event_id", score.alias("freshness"))
+
+
+def version_markers(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(dates.version_markers(F.col("text")), " ").alias("versions"))
+
+
+def normalize_heading(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalize_heading(F.substring_index("text", "\n", 1)).alias("heading"))
+
+
+def ranking_score(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(text.ranking_score(F.lit(1.0), F.col("value") / 20), 6).alias("ranking_score"))
+
+
+def body_format(spark, d):
+    return table(spark, d, "pages").select("page_id", pages.body_format(F.col("html"), F.lit("text/plain; charset=utf-8")).alias("format"))
+
+
+def usable_pages(spark, d):
+    return table(spark, d, "documents").select("doc_id", pages.usable(F.col("text")).alias("usable"))
+
+
+def best_attempt(spark, d):
+    rows = table(spark, d, "documents").select(F.concat(F.lit("u"), F.floor(F.col("doc_id") / 3).cast("string")).alias("url"), (F.col("doc_id") % 3 + 1).cast("int").alias("tier"), F.col("text").alias("content"))
+    return pages.best_attempt(rows).select("url", "tier", F.col("content_chars").cast("long").alias("content_chars"), "low_confidence")
+
+
+def cache_state(spark, d):
+    age = F.unix_seconds(F.lit(AS_OF).cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select("event_id", pages.cache_state(F.pmod(age, F.lit(200_000))).alias("state"))
+
+
+def chunks(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(pages.chunks(F.col("text"))).alias("chunk_ix", "chunk"))
+
+
+def redact_secrets(spark, d):
+    return redact.redact_secrets(table(spark, d, "documents").select("doc_id", "text"), F.col("text")).select("doc_id", "redacted", "n_redactions")
+
+
+def redact_pii(spark, d):
+    return redact.redact_private(table(spark, d, "documents").select("doc_id", "text"), F.col("text")).select("doc_id", "redacted", "n_redactions")
+
+
+def _hits(spark, d):
+    """pages as hits of requests by page_id, scored by their url; the same url may come more than once."""
+    rows = table(spark, d, "pages").select("page_id", "url", "html")
+    return rows.select(
+        F.col("page_id").alias("ix"), (F.col("page_id") % 7).alias("request_id"), urls.domain(F.col("url")).alias("domain"), "url",
+        F.round((F.length("html") % 97) / 10.0, 2).alias("discovery_score"),
+    )
+
+
+def dedup_candidates(spark, d):
+    return ranking.dedup_candidates(_hits(spark, d), ["request_id", "domain"]).select("request_id", "domain", "url", "ix", "discovery_score", "first_seen_ix")
+
+
+def top_candidates(spark, d):
+    return ranking.top_k(_hits(spark, d), [F.desc("discovery_score"), F.col("ix")], 30).select("ix", "discovery_score", "position")
+
+
+def diversified(spark, d):
+    rows = _hits(spark, d).withColumn("owner", urls.root_domain(F.col("domain")))
+    return ranking.diversified(rows, ["request_id"], 8, score="discovery_score", ix="ix").select("request_id", "ix", "owner", "position")
+
+
+def snippet_fallback(spark, d):
+    hits = _hits(spark, d)
+    results = hits.where("ix % 3 = 0").withColumn("position", F.col("ix"))
+    return ranking.snippet_fallback(results, hits, ["request_id"], 40).select("request_id", "url", "is_fallback", "position")
+
+
+def _passages(spark, d):
+    """Lines of documents as passages of a page; scores from the query."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("passage_index", "text"))
+    return rows.withColumn("lexical_score", text.lexical_score(F.lit(QUERY), F.col("text"))).withColumn("source_score", (F.col("doc_id") % 5).cast("double"))
+
+
+def top_passages(spark, d):
+    rows = ranking.top_passages(_passages(spark, d), ["doc_id"], score="lexical_score")
+    return rows.select("doc_id", "passage_index", F.round("lexical_score", 6).alias("lexical_score"), "rank")
+
+
+def page_content(spark, d):
+    return ranking.page_content(_passages(spark, d), ["doc_id"], score="lexical_score").select("doc_id", "content", F.round("page_score", 6).alias("page_score"))
+
+
+def prefilter_passages(spark, d):
+    rows = _passages(spark, d).withColumn("ix", F.col("doc_id") * 100_000 + F.col("passage_index"))
+    return ranking.prefilter_passages(rows).select("doc_id", "passage_index", "position")
+
+
+def evidence_summary(spark, d):
+    rows = _hits(spark, d).withColumn("position", F.col("ix"))
+    none = F.lit(None).cast("string")
+    results = rows.select("request_id", "position", "url", (F.col("ix") % 11 == 0).alias("primary_source_candidate"), F.when(F.col("ix") % 5 == 0, "2024-01-01").alias("published_at"), none.alias("modified_at"), none.alias("declared_at"), F.when(F.col("ix") % 4 != 0, "direct").alias("extraction_method"), urls.citation_url(F.col("url")).alias("citation_url"), F.lit(None).cast("array<string>").alias("version_context"))
+    requests = rows.select("request_id").distinct().withColumn("query", F.lit("latest release of the package"))
+    out = summary.evidence_summary(results, requests)
+    return out.withColumn("version_contexts", F.array_join("version_contexts", ",")).withColumn("warnings", F.array_join("warnings", "|"))
+
+
+def latency_summary(spark, d):
+    rows = table(spark, d, "events").select("event_type", (F.col("value") > 50).alias("passed"), F.col("value").alias("latency"))
+    return summary.latency_summary(rows, ["event_type"])
+
+
+def network_score(spark, d):
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("ix"), F.concat("url", F.when(F.col("page_id") % 2 == 0, "/api/data.json").otherwise("")).alias("url"), F.lit(200).alias("status"), F.when(F.col("page_id") % 3 == 0, "application/json").otherwise("text/plain").alias("content_type"), F.col("html").alias("text"))
+    terms = network.relevance_terms(F.lit("thing about example data"), F.array().cast("array<string>"))
+    return network.network_scores(rows, terms, F.lit("www.example.com")).select("ix", "same_site", "data_endpoint", F.col("term_hits").cast("int").alias("term_hits"), "score")
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score"
+    return {n: globals()[n] for n in names.split()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
