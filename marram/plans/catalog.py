@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.functions import dates, intent, sources, text, urls
-from marram.operators import network, pages, ranking, redact, summary
+from marram.functions import dates, html, intent, sources, text, urls
+from marram.operators import discovery, network, pages, ranking, redact, summary
 from marram.plans.oracles import ORACLES
 
 #: The query of the rankings: words of the synthetic corpus.
@@ -228,8 +228,44 @@ def network_score(spark, d):
     return network.network_scores(rows, terms, F.lit("www.example.com")).select("ix", "same_site", "data_endpoint", F.col("term_hits").cast("int").alias("term_hits"), "score")
 
 
+def _read(spark, d):
+    return table(spark, d, "pages").select("page_id", html.read_page(F.col("html"), F.col("url")).alias("p"))
+
+
+def html_to_text(spark, d):
+    return _read(spark, d).select("page_id", F.col("p.text").alias("text"))
+
+
+def page_title(spark, d):
+    return _read(spark, d).select("page_id", F.col("p.declared.title").alias("title"))
+
+
+def page_metadata(spark, d):
+    p = "p.declared."
+    return _read(spark, d).select("page_id", F.col(p + "language").alias("language"), F.col(p + "author").alias("author"), F.col(p + "description").alias("description"), dates.normalize_date(F.col(p + "published")).alias("published_at"), dates.normalize_date(F.col(p + "modified")).alias("modified_at"))
+
+
+def page_links(spark, d):
+    return _read(spark, d).select("page_id", F.posexplode("p.links").alias("link_ix", "link")).select("page_id", "link_ix", "link.url", "link.anchor")
+
+
+def flatten_props(spark, d):
+    return table(spark, d, "events").select("event_id", html.flatten_json(F.col("props")).alias("flat"))
+
+
+def normalized_hits(spark, d):
+    """Pages as hits of three requests, with words of the corpus as queries."""
+    names = ["the thing of restes", "latest thingha erand", "est de la que"]
+    requests = spark.createDataFrame([(i, q, None) for i, q in enumerate(names)], "request_id long, query string, time_range string").withColumn("as_of", F.lit(AS_OF).cast("timestamp"))
+    page = table(spark, d, "pages")
+    none = F.lit(None).cast("string")
+    hits = page.select((F.col("page_id") % 3).alias("request_id"), F.col("page_id").alias("ix"), (F.col("page_id") % 10 + 1).cast("int").alias("rank"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), "url", F.substring(F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1), 1, 400).alias("content"), none.alias("published_raw"), none.alias("modified_raw"))
+    out = discovery.discover(requests, hits)
+    return out.withColumn("version_context", F.array_join("version_context", ","))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score"
+    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits"
     return {n: globals()[n] for n in names.split()}
 
 

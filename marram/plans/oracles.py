@@ -38,6 +38,7 @@ ORACLES = {
     "extract_urls": f"SELECT page_id, {_CANONICAL} AS urls FROM pages",
     "source_adjustment": f"SELECT page_id, CASE split_part({_DOMAIN}, '.', 1) WHEN 'docs' THEN 1.2 WHEN 'developer' THEN 1.0 WHEN 'support' THEN 0.9 ELSE 0.0 END::DOUBLE AS source_adjustment FROM pages",
     "tokens": rf"WITH l AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[\p{{L}}\p{{N}}\p{{M}}]+(?:[-.][\p{{L}}\p{{N}}\p{{M}}]+)*') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM l), f AS (SELECT doc_id, w, min(i) AS i FROM u WHERE (length(w) >= 2 OR regexp_matches(w, '^\d+$')) AND w NOT IN ({_STOP}) GROUP BY doc_id, w), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f) SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY n) FILTER (WHERE n <= 80), '') AS tokens FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id",
+    "page_title": r"SELECT page_id, nullif(substr(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g')), 1, 500), '') AS title FROM pages",
     "lexical_score": f"SELECT doc_id, round({_score('text')}, 6) AS lexical_score FROM documents",
     "lexical_rerank": f"SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id)::INT AS position, round(s, 6) AS rerank_score, round(s, 6) AS ranking_score FROM (SELECT doc_id, {_score('text')} AS s FROM documents) ORDER BY s DESC, doc_id LIMIT 20",
     "mode_for": f"SELECT conv_id, turn, CASE WHEN {_has('technical')} OR {_has('recommendation')} THEN 'balanced' WHEN len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) <= 9 THEN 'quick' ELSE 'balanced' END AS mode FROM conversations",
