@@ -2,6 +2,60 @@
 
 from __future__ import annotations
 
+_CLASSES = (r"\p{Lu}", "0-9", r"\x20\x09-\x0D", r".,;:!?''\"()\-", r"#*$%&|<>@\\^_`{}~+=/\[\]")
+_COUNTS = ", ".join(f"length(regexp_replace(t, '[^{c}]+', '', 'g'))::DOUBLE" for c in _CLASSES)
+_TERM = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({a} + {b}) / 2)) ELSE 0 END"
+_BOTH = _TERM.format(x="a", a="a", b="b") + " + " + _TERM.format(x="b", a="a", b="b")
+#: op1: base counts, and Jensen-Shannon distances to the counts of the language, or of all for rare languages.
+OP1 = rf"""
+WITH d AS (
+  SELECT doc_id, t, lang, h || [length(t) - list_sum(h)] AS hist
+  FROM (SELECT *, [{_COUNTS}] AS h FROM (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents))),
+langs AS (SELECT lang FROM d WHERE lang <> '' GROUP BY lang HAVING count(*) >= 20),
+r AS (SELECT d.*, coalesce(langs.lang, '') AS ref FROM d LEFT JOIN langs ON d.lang = langs.lang),
+w AS (
+  SELECT doc_id, lang, ref, unnest(l) AS w, generate_subscripts(l, 1) AS i
+  FROM (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM r)),
+g AS (
+  SELECT doc_id, i, w AS a, lead(w, 1) OVER v AS b, lead(w, 2) OVER v AS c FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g WHERE c IS NOT NULL) WHERE n > 1),
+under AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FROM w GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+of_lang AS (SELECT lang AS ref, lower(w) AS w, count(*)::DOUBLE AS n FROM w WHERE lang IN (SELECT lang FROM langs) GROUP BY ALL
+  UNION ALL SELECT '' AS ref, lower(w) AS w, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
+totals AS (SELECT ref, sum(n) AS total FROM of_lang GROUP BY ref),
+common AS (SELECT ref, w, n FROM of_lang JOIN totals USING (ref) WHERE n >= 0.01 * total),
+ref_words AS (SELECT ref, w, n / total AS b FROM common JOIN totals USING (ref)
+  UNION ALL SELECT ref, '' AS w, (any_value(total) - sum(n)) / any_value(total) AS b FROM common JOIN totals USING (ref) GROUP BY ref),
+own_words AS (
+  SELECT doc_id, coalesce(common.w, '') AS w, count(*)::DOUBLE AS n
+  FROM w LEFT JOIN common ON common.ref = w.ref AND common.w = lower(w.w) GROUP BY ALL),
+word_pairs AS (
+  SELECT r.doc_id, coalesce(o.n, 0) / c.n_words AS a, q.b
+  FROM r JOIN counted c USING (doc_id) JOIN ref_words q ON q.ref = r.ref LEFT JOIN own_words o ON o.doc_id = r.doc_id AND o.w = q.w),
+word_js AS (SELECT doc_id, sqrt(greatest(0, sum({_BOTH}) / 2)) AS word_distance FROM word_pairs GROUP BY doc_id),
+bins AS (SELECT doc_id, lang, ref, unnest(hist) AS n, generate_subscripts(hist, 1) AS k, length(t) AS size FROM r),
+ref_bins AS (SELECT lang AS ref, k, sum(n) AS n FROM bins WHERE lang IN (SELECT lang FROM langs) GROUP BY ALL
+  UNION ALL SELECT '' AS ref, k, sum(n) AS n FROM bins GROUP BY ALL),
+char_pairs AS (
+  SELECT doc_id, bins.n / size AS a, q.n / sum(q.n) OVER (PARTITION BY doc_id) AS b
+  FROM bins JOIN ref_bins q USING (ref, k) WHERE size > 0),
+char_js AS (SELECT doc_id, sqrt(greatest(0, sum({_BOTH}) / 2)) AS char_distance FROM char_pairs GROUP BY doc_id),
+every AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) AS size, char_distance, word_distance
+  FROM r LEFT JOIN counted USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN under USING (doc_id)
+  LEFT JOIN char_js USING (doc_id) LEFT JOIN word_js USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance,
+       NOT base_failed AND NOT coalesce((char_distance > 0.28 AND size >= 200) OR (word_distance > 0.4 AND n_words >= 50), false) AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM every)
+"""
+
 #: op2: group by the digest of the text without white space.
 OP2 = r"""
 WITH rows AS (
@@ -85,4 +139,4 @@ FROM j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op9_line_spread": OP9, "op10_host_reputation": OP10}
+    return {"op1_quality_rules": OP1, "op2_exact_dedup": OP2, "op9_line_spread": OP9, "op10_host_reputation": OP10}
