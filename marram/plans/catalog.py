@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions import dates, html, intent, sources, text, urls
-from marram.operators import discovery, network, pages, ranking, redact, summary
+from marram.operators import discovery, evaluation, lines, links, network, pages, policy, ranking, redact, summary
+from marram.sources import tables
 from marram.plans.oracles import ORACLES
 
 #: The query of the rankings: words of the synthetic corpus.
@@ -264,8 +265,58 @@ def normalized_hits(spark, d):
     return out.withColumn("version_context", F.array_join("version_context", ","))
 
 
+def url_policy(spark, d):
+    return _urls(spark, d).select("page_id", policy.url_policy(F.concat("url", F.lit("&token=x"))).alias("fault"))
+
+
+def redact_url(spark, d):
+    u = F.concat(F.regexp_replace("url", "#.*", ""), F.lit("?token=abc&page=1"))
+    return _urls(spark, d).select("page_id", policy.redact_url(u).alias("r")).select("page_id", "r.url", "r.n")
+
+
+def follow_links(spark, d):
+    page = table(spark, d, "pages").select((F.col("page_id") % 7).alias("request_id"), F.col("page_id").cast("int").alias("page_index"), "url", html.read_page(F.col("html"), F.col("url"))["links"].alias("links"))
+    requests = spark.createDataFrame([(i, "thanedble attion ciónue erüver sch") for i in range(7)], "request_id long, query string")
+    return links.follow_links(page, requests, 10)
+
+
+def passages(spark, d):
+    none = F.lit(None).cast("string")
+    page = table(spark, d, "documents").select((F.col("doc_id") % 7).alias("request_id"), F.col("doc_id").cast("int").alias("page_index"), F.col("text").alias("content"), F.col("source").alias("title"), none.alias("source_type"), none.alias("published_at"), none.alias("modified_at"), none.alias("declared_at"), F.lit(None).cast("array<string>").alias("version_context"), (F.col("doc_id") % 5).cast("double").alias("discovery_score"), F.lit(0.0).alias("source_authority"))
+    requests = spark.createDataFrame([(i, QUERY) for i in range(7)], "request_id long, query string")
+    return links.passages(page, requests).select("request_id", "page_index", "passage_index", F.round("lexical_score", 6).alias("lexical_score"), "position")
+
+
+def distinct_lines(spark, d):
+    return lines.line_rows(table(spark, d, "documents")).select("doc_id", "ix", "line")
+
+
+def table_like_rows(spark, d):
+    rows = lines.line_rows(table(spark, d, "documents"))
+    return rows.where(lines.table_like(F.col("line"), lines.task_terms(F.lit(QUERY)))).select("doc_id", "ix", "line")
+
+
+def confidence(spark, d):
+    n = lambda m: F.col("event_id") % m
+    return table(spark, d, "events").select("event_id", lines.confidence(n(2), n(3), n(40), n(5), n(1000)).alias("confidence"))
+
+
+def searx_view(spark, d):
+    rows = _hits(spark, d).select(F.col("request_id"), "url", F.col("domain").alias("title"), F.lit("").alias("snippet"), "discovery_score", F.lit(None).cast("string").alias("published_at"))
+    return tables.searx_view(rows)
+
+
+def evaluation_rows(spark, d):
+    """Requests of hits as cases, latencies from events."""
+    rows = _hits(spark, d).withColumn("id", F.col("request_id").cast("string"))
+    results = rows.select("id", F.col("domain").alias("title"), F.lit("").alias("content"), "url", F.lit("general_web").alias("source_type"), F.col("url").alias("citation_url"), F.when(F.col("ix") % 4 != 0, "direct").alias("extraction_method"), F.when(F.col("ix") % 5 == 0, "2024-01-01").alias("published_at"), (F.col("ix") % 11 == 0).alias("primary_source_candidate"))
+    cases = spark.createDataFrame([(str(i), 30 + i, ["example.org"] if i % 2 else None, ["tionsh"] if i % 3 else None, ["news"] if i == 6 else None) for i in range(8)], "id string, min_results int, expected_domains array<string>, expected_any_terms array<string>, expected_source_types array<string>")
+    runs = table(spark, d, "events").where("event_id < 7").select(F.col("event_id").cast("string").alias("id"), F.lit(200).alias("status_code"), F.col("value").alias("latency_seconds"))
+    return evaluation.evaluate(cases, results, runs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits"
+    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows"
     return {n: globals()[n] for n in names.split()}
 
 

@@ -61,5 +61,8 @@ ORACLES = {
     "page_content": f"SELECT doc_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY rank), 1, 7000) AS content, round(max(lexical_score), 6) AS page_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lexical_score DESC, passage_index) AS rank FROM {_PASSAGES}) WHERE rank <= 3 GROUP BY doc_id",
     "prefilter_passages": f"SELECT doc_id, passage_index::INT AS passage_index, row_number() OVER (ORDER BY lexical_score + 0.08 * source_score DESC, doc_id * 100000 + passage_index)::INT AS position FROM {_PASSAGES} WHERE lexical_score > 0 OR passage_index <= 6 ORDER BY position LIMIT 80",
     "latency_summary": "SELECT event_type, count(*) AS cases, count(*) FILTER (WHERE value > 50) AS passed, round(count(*) FILTER (WHERE value > 50) / count(*), 4) AS pass_rate, round(median(value), 3) AS median_latency, round(list_sort(list(value))[greatest(1, least(count(*), round_even(0.95 * count(*), 0)::BIGINT))], 3) AS p95_latency FROM events GROUP BY event_type",
+    "confidence": "SELECT event_id, CASE WHEN event_id % 2 > 0 AND event_id % 3 > 0 THEN 'high' WHEN event_id % 2 > 0 OR event_id % 40 >= 20 THEN 'medium_high' WHEN event_id % 5 > 0 THEN 'medium' WHEN event_id % 1000 > 500 THEN 'low' ELSE 'very_low' END AS confidence FROM events",
+    "distinct_lines": "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS ix, line FROM (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY i) AS rn FROM (SELECT doc_id, i, trim(regexp_replace(line, '^\\s*[-•]\\s+|\\s+$', '', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE line <> '') WHERE rn = 1",
+    "searx_view": f"SELECT request_id, url, domain AS title, '' AS content, 'gateway' AS engine, discovery_score AS score, NULL::VARCHAR AS publishedDate FROM {_HITS}",
     "evidence_summary": f"SELECT request_id, 'sufficient' AS status, n AS result_count, owners AS independent_source_count, primaries AS primary_source_candidate_count, dated AS dated_source_count, extracted AS extracted_source_count, n AS citation_url_count, 'high' AS temporal_requirement, '' AS version_contexts, array_to_string(list_filter([CASE WHEN n > 1 AND owners < 2 THEN 'Limited independent-source diversity.' END, CASE WHEN primaries = 0 THEN 'No likely primary or authoritative source was identified.' END, CASE WHEN dated = 0 THEN 'The request is time-sensitive, but sources exposed no usable publication or modification dates.' END, 'No explicit software or product version context was extracted.', CASE WHEN extracted < n THEN 'Some results rely on search snippets because page extraction was unavailable.' END], lambda x: x IS NOT NULL), '|') AS warnings FROM (SELECT request_id, count(*) AS n, count(DISTINCT array_to_string(list_slice(string_split(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '.'), -2, -1), '.')) AS owners, count(*) FILTER (WHERE ix % 11 = 0) AS primaries, count(*) FILTER (WHERE ix % 5 = 0) AS dated, count(*) FILTER (WHERE ix % 4 <> 0) AS extracted FROM {_HITS} GROUP BY request_id)",
 }
