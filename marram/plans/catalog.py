@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions import dates, html, intent, sources, text, urls
-from marram.operators import discovery, evaluation, lines, links, network, pages, policy, ranking, redact, summary
+from marram.operators import discovery, evaluation, lines, links, network, pages, policy, ranking, redact, sections, summary
 from marram.sources import tables
 from marram.plans.oracles import ORACLES
 
@@ -315,8 +315,18 @@ def evaluation_rows(spark, d):
     return evaluation.evaluate(cases, results, runs)
 
 
+def relevant_lines(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", sections.relevant_lines(F.col("text"), QUERY, ["Overview"]).alias("l"))
+    return rows.select("doc_id", F.posexplode("l").alias("line_ix", "line"))
+
+
+def section_map(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", sections.sections(F.col("text"), ["the", "Installation"]).alias("m"))
+    return rows.select("doc_id", F.explode("m").alias("header", "s")).select("doc_id", "header", "s.found", F.size("s.items").alias("n_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows"
+    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows relevant_lines section_map"
     return {n: globals()[n] for n in names.split()}
 
 
