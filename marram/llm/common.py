@@ -17,6 +17,7 @@ SPACE = r"\x20\x09-\x0D"
 HOT_KEYS, HOT_ROWS = 1000, 100
 
 _own_folder: list[str] = []
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,9 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/marram-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this session has written; call it when results that read them are no longer needed."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _tables):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _tables.clear()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, made from the given ones; Spark compares names without case."""
     taken = {c.lower() for c in df.columns}

@@ -83,3 +83,13 @@ def test_skew_join_and_running(spark):
     for key in {k for _, k in rows}:
         own = sorted(r["_before"] for r in before if r["k"] == key)
         assert own == list(range(len(own)))
+
+
+def test_clear_deletes_what_was_written(spark):
+    from pathlib import Path
+
+    common.written(spark.range(3), "gone")
+    path = Path(common._tables[-1].removeprefix("file://"))
+    assert path.exists()
+    common.clear(spark)
+    assert not path.exists() and not common._tables

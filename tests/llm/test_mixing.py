@@ -1,7 +1,7 @@
 import random
 from fractions import Fraction
 
-from marram.llm.mixing import period_table, phases, whole_weights
+from marram.llm.mixing import mixed, period_table, phases, schedule, whole_weights
 
 
 def test_lag_is_under_one_block():
@@ -33,3 +33,36 @@ def test_every_block_gets_its_own_slot():
 def test_whole_weights():
     assert whole_weights({"a": 3, "b": 1}, 4) == {"a": 3, "b": 1}
     assert sum(whole_weights({"a": 1, "b": 1, "c": 1}).values()) == 1000
+
+
+def rows():
+    out = [(i, "x" * (i % 700), f"s{i % 7 % 3}", i) for i in range(900)]
+    return out + [(1000, None, None, 1), (1001, "", "", 2), (1002, "y" * 90_000, "s1", 3), (1002, "y" * 90_000, "s1", 3), (None, "z", "rare", 4)]
+
+
+def frame(spark):
+    return spark.createDataFrame(rows(), "doc_id long, text string, source string, _slot int")
+
+
+def test_every_row_has_one_place(spark):
+    got = schedule(frame(spark), {"s0": 3, "s1": 1, "s2": 1, "never": 5}, block_chars=5000).collect()
+    assert sorted((r["doc_id"] or -1) for r in got) == sorted((r[0] or -1) for r in rows())
+    by = {}
+    for r in got:
+        assert r["release"] <= r["slot"] < r["deadline"]
+        assert by.setdefault(r["slot"], (r["stream"], r["block"])) == (r["stream"], r["block"])
+    # blocks of a stream come in order
+    for s in {r["stream"] for r in got}:
+        own = sorted((r["block"], r["slot"]) for r in got if r["stream"] == s)
+        assert [x[1] for x in own] == sorted(x[1] for x in own)
+    again = schedule(frame(spark).repartition(9), {"s0": 3, "s1": 1, "s2": 1, "never": 5}, block_chars=5000).collect()
+    place = lambda x: sorted((r["doc_id"] or -1, r["slot"], r["place"]) for r in x)
+    assert place(again) == place(got)
+
+
+def test_mixed_keeps_rows_and_order(spark):
+    docs = frame(spark)
+    out = mixed(docs, block_chars=5000)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+    assert mixed(docs.limit(0)).count() == 0 and schedule(docs.limit(0)).count() == 0
