@@ -28,7 +28,45 @@ def _score(column: str) -> str:
 _PASSAGES = f"""(SELECT doc_id, pos - 1 AS passage_index, line AS text, {_score('line')} AS lexical_score, (doc_id % 5)::DOUBLE AS source_score
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))"""
 
+def _in(names: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"d = '{n}' OR ends_with(d, '.{n}')" for n in names) + ")"
+
+
+_WORDS = "list_distinct(regexp_extract_all(replace(lower({x}), 'ß', 'ss'), '[a-z0-9]{{3,}}'))"
+_PATH = "coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), ''), '/')"
+_PROFILE = f"""
+WITH p AS (SELECT page_id, {_DOMAIN} AS d, {_PATH} AS path, {_ROOT} AS root FROM pages),
+k AS (SELECT *, list_has_any({_WORDS.format(x="root || ' ' || substr(path, 1, 500)")}, ['example']) AS near, CASE
+  WHEN d = '' THEN ['general_web', '5', '0', 'no']
+  WHEN {_in(rules.LOW_QUALITY_DOMAINS)} THEN ['low_quality_or_social', '5', '0.08', 'no']
+  WHEN ends_with(d, '.gov') OR contains(d, '.gov.') OR {_in(("europa.eu",))} THEN ['government', '1', '0.96', 'yes']
+  WHEN {_in(rules.STANDARD_DOMAINS)} THEN ['standard', '1', '0.95', 'yes']
+  WHEN {_in(rules.ACADEMIC_DOMAINS)} OR ends_with(d, '.edu') OR contains(d, '.edu.') THEN ['academic_primary', '1', '0.91', 'yes']
+  WHEN {_in(("github.com",))} AND regexp_matches(path, '(?i){rules.DISCUSSION_PATH}') THEN ['technical_community', '3', '0.66', 'no']
+  WHEN {_in(("github.com",))} AND regexp_matches(path, '(?i){rules.RELEASE_PATH}') THEN ['release_notes', '1', '0.9', 'affine']
+  WHEN {_in(("github.com",))} THEN ['source_repository', '2', '0.84', 'affine']
+  WHEN {_in(rules.DOCUMENTATION_DOMAINS)} THEN ['documentation_candidate', '1', '0.93', 'yes']
+  WHEN regexp_matches(d, '^(docs|developer|support)[.]') OR regexp_matches(path, '(?i){rules.DOCUMENTATION_PATH}') THEN ['documentation_candidate', '2', '0.81', 'affine']
+  WHEN {_in(rules.TECHNICAL_DOMAINS)} THEN ['technical_reference', '2', '0.78', 'no']
+  WHEN {_in(rules.NEWS_DOMAINS)} THEN ['news', '2', '0.79', 'no']
+  WHEN {_in(rules.COMMUNITY_DOMAINS)} OR contains(d, 'forum') THEN ['technical_community', '3', '0.61', 'no']
+  ELSE ['general_web', '4', '0.45', 'no'] END AS k FROM p)
+SELECT page_id, k[1] AS source_type, k[2]::INT AS source_tier,
+       round(CASE WHEN near AND k[1] IN ('documentation_candidate', 'release_notes', 'source_repository') THEN least(1.0, k[3]::DOUBLE + 0.04) ELSE k[3]::DOUBLE END, 4)::DOUBLE AS authority_score,
+       [1.35, 0.7, 0.2, 0.0, -2.0][k[2]::INT]::DOUBLE AS authority_adjustment,
+       k[4] = 'yes' OR (k[4] = 'affine' AND near) AS primary_source_candidate, near AS query_domain_affinity
+FROM k
+"""
+_PAD = "' ' || replace(replace(coalesce(text, ''), chr(10), '  '), ' ', '  ') || ' '"
+_TERMS = _QUERY.split()
+_Q = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+
 ORACLES = {
+    "source_profile": _PROFILE,
+    "subject_coverage": "SELECT doc_id, round((" + " + ".join(f"regexp_matches({_PAD}, '(?i)[^\\p{{L}}\\p{{N}}_]{w}[^\\p{{L}}\\p{{N}}_]')::INT" for w in _TERMS) + f") / {len(_TERMS)}.0, 6)::DOUBLE AS subject_coverage FROM documents",
+    "page_metadata": "SELECT page_id, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS language, NULL::VARCHAR AS author, NULL::VARCHAR AS description, NULL::VARCHAR AS published_at, NULL::VARCHAR AS modified_at FROM pages",
+    "flatten_props": "SELECT event_id, regexp_replace(regexp_replace(props, '[{}\"]', '', 'g'), ':\\s*', ': ', 'g') AS flat FROM events",
+    "query_variants": f"SELECT conv_id, turn, (generate_subscripts(v, 1) - 1)::INT AS variant_ix, unnest(v) AS variant FROM (SELECT conv_id, turn, (list_filter([q, CASE WHEN {_has('docker_documentation', 'q')} THEN q || ' site:docs.docker.com' WHEN {_has('technical', 'q')} AND {_has('instruction', 'q')} THEN q || ' official documentation' WHEN {_has('current', 'q')} THEN q || ' latest' WHEN {_has('technical', 'q')} THEN q || ' official documentation' END, q || ' authoritative sources'], lambda x: x IS NOT NULL)) AS v FROM (SELECT conv_id, turn, {_Q} AS q FROM conversations))",
     "canonical_url": f"SELECT page_id, {_CANONICAL} AS canonical_url FROM pages",
     "citation_url": f"SELECT page_id, {_CANONICAL} AS citation_url FROM pages",
     "evidence_id": f"SELECT page_id, 'ev-' || substr(sha256({_CANONICAL}), 1, 16) AS evidence_id FROM pages",
