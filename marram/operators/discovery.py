@@ -72,3 +72,25 @@ def discover(requests: DataFrame, hits: DataFrame, limit: int = 30) -> DataFrame
     rows = normalized_hits(with_anchor(requests), hits)
     best = dedup_candidates(rows, ["request_id", "url"])
     return top_k(best, [F.desc("discovery_score"), F.col("first_seen_ix")], limit, ["request_id"])
+
+
+def direct_candidates(requests: DataFrame, limit: int = 30) -> DataFrame:
+    """URLs that a query names become its candidates and stand before any search: ten points and their authority."""
+    rows = requests.select("request_id", "query", F.posexplode(F.slice(urls.extract_urls(F.col("query")), 1, limit)).alias("ix", "url"))
+    rows = rows.withColumn("domain", urls.host(F.col("url"))).withColumn("title", F.concat("domain", F.coalesce(F.nullif(F.regexp_replace(urls.path(F.col("url")), "/+$", ""), F.lit("")), F.lit("/"))))
+    rows = rows.withColumn("profile", sources.source_profile(F.col("url"), F.col("title"), F.col("query")))
+    authority = sources.source_adjustment(F.col("domain")) + F.col("profile.authority_adjustment")
+    return rows.select(
+        "request_id", "ix", "url", "domain", "title", (F.col("ix") + 1).alias("search_rank"), F.round(10.0 + authority, 4).alias("discovery_score"), F.round(authority, 4).alias("source_authority"),
+        "profile.source_type", "profile.source_tier", "profile.authority_score", "profile.primary_source_candidate",
+        dates.version_markers(F.col("title")).alias("version_context"), urls.evidence_id(F.col("url")).alias("evidence_id"), F.col("url").alias("citation_url"), F.array(F.lit("direct-url")).alias("engines"),
+    )
+
+
+def with_direct(requests: DataFrame, hits: DataFrame, limit: int = 30) -> DataFrame:
+    """Candidates of all requests: direct ones where the query names URLs, else discovered ones; the common columns."""
+    direct = direct_candidates(requests, limit)
+    named = direct.select("request_id").distinct()
+    found = discover(requests.join(named, "request_id", "left_anti"), hits, limit)
+    common = ["request_id", "url", "domain", "title", "search_rank", "discovery_score", "source_authority", "source_type", "source_tier", "primary_source_candidate", "evidence_id", "citation_url"]
+    return direct.select(*common).unionByName(found.select(*common))

@@ -60,3 +60,41 @@ def select_network(scored: DataFrame, ix: str = "ix", k: int = rules.MAX_NETWORK
     first = scored.where(text(F.col("url")) != "").withColumn("_rn", F.row_number().over(Window.partitionBy("url").orderBy(ix))).where("_rn = 1").drop("_rn")
     good = first.where((F.col("score") >= rules.LEAST_NETWORK_SCORE) & (F.col("same_site") | (F.col("term_hits") > 0)) & (F.col("data_endpoint") | (F.col("term_hits") > 0)))
     return good.orderBy(F.desc("score"), ix).limit(k)
+
+
+# --- fixed values: what is worth capturing ---
+BODY_LIMIT = 1_000_000
+STATIC_RESOURCES = ("script", "stylesheet", "image", "media", "font", "manifest")
+DATA_RESOURCES = ("xhr", "fetch")
+STATIC_TYPES = ("javascript", "ecmascript", "text/css", "font/", "image/", "video/", "audio/", "mpegurl", "dash+xml", "octet-stream")
+
+
+def should_capture(url: Column, content_type: Column, resource_type: Column, start_domain: Column) -> Column:
+    """Whether a response is a data channel: JSON, XML or, on the same site's data endpoints, plain text."""
+    kind, resource = F.lower(text(content_type)), F.lower(text(resource_type))
+    machine = kind.contains("json") | kind.contains("graphql") | kind.contains("xml")
+    same = urls.root_domain_naive(F.lower(F.regexp_extract(text(url), NETLOC, 1))) == urls.root_domain_naive(start_domain)
+    fits = F.when(same, data_endpoint(url) | machine).otherwise(data_endpoint(url) & machine)
+    out = resource.isin(*STATIC_RESOURCES) | noisy(url) | contains_any(kind, STATIC_TYPES) | kind.contains("text/html") | ~resource.isin("", *DATA_RESOURCES)
+    return ~out & (machine | kind.contains("text/plain")) & fits
+
+
+def bounded_length(content_encoding: Column, content_length: Column, limit: int = BODY_LIMIT) -> Column:
+    """The declared length of a body that isn't compressed, from 1 to the limit; else null."""
+    n = F.trim(text(content_length)).try_cast("long")
+    return F.when(F.lower(F.trim(text(content_encoding))).isin("", "identity") & n.between(1, limit), n)
+
+
+def decoded_body(body: Column, is_base64: Column, declared: Column, transferred: Column, limit: int = BODY_LIMIT) -> Column:
+    """The text of a captured body whose transfer and size are within bounds; else null."""
+    raw = F.when(is_base64, F.try_to_binary(body, F.lit("base64"))).otherwise(F.encode(body, "UTF-8"))
+    good = (transferred > 0) & (transferred <= limit) & (F.octet_length(raw) > 0) & (F.octet_length(raw) <= F.least(F.lit(limit), declared))
+    return F.when(good, F.make_valid_utf8(raw.cast("string")))
+
+
+def diagnostic_url(url: Column) -> Column:
+    """Scheme and host with its port, for logs."""
+    form = r"(?i)^([a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::(\d+))?"
+    scheme, host, port = (F.lower(F.regexp_extract(text(url), form, k)) for k in (1, 2, 3))
+    bare = F.lower(F.regexp_extract(text(url), r"(?i)^([a-z][a-z0-9+.-]*):", 1))
+    return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""))).otherwise(F.coalesce(F.nullif(bare, F.lit("")), F.lit("unknown")))

@@ -71,3 +71,25 @@ def _chunk_column(values: pd.Series) -> pd.Series:
 
 def chunks(value: Column) -> Column:
     return F.pandas_udf(_chunk_column, "array<string>")(value)
+
+
+# --- fixed value ---
+CACHE_SCHEMA = "quality-v6"
+
+
+def cache_key(pipeline: str, *parts: Column) -> Column:
+    """SHA-256 of the schema, the pipeline and the parts as JSON, in the order given; nulls are parts too."""
+    named = [F.coalesce(p.cast("string"), F.lit("\x00")).alias(f"p{i}") for i, p in enumerate(parts)]
+    return F.sha2(F.to_json(F.struct(F.lit(pipeline).alias("pipeline"), F.lit(CACHE_SCHEMA).alias("schema"), *named)), 256)
+
+
+def lookup(requests: DataFrame, cache: DataFrame, as_of: str = "as_of") -> DataFrame:
+    """requests with the result and state of their cache entry: fresh, stale, expired, or null where there is none.
+
+    cache is (cache_key, cached_at, result); the latest entry of a key counts, and expired results aren't handed out.
+    """
+    latest = cache.groupBy("cache_key").agg(F.max_by("result", "cached_at").alias("result"), F.max("cached_at").alias("cached_at"))
+    out = requests.join(latest, "cache_key", "left")
+    age = F.unix_seconds(F.col(as_of)) - F.unix_seconds("cached_at")
+    out = out.withColumn("state", F.when(F.col("cached_at").isNotNull(), cache_state(age)))
+    return out.withColumn("result", F.when(F.col("state") != "expired", F.col("result")))

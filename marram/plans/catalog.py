@@ -325,8 +325,20 @@ def section_map(spark, d):
     return rows.select("doc_id", F.explode("m").alias("header", "s")).select("doc_id", "header", "s.found", F.size("s.items").alias("n_items"))
 
 
+def should_capture(spark, d):
+    kind = F.when(F.col("page_id") % 3 == 0, "application/json").when(F.col("page_id") % 3 == 1, "text/plain").otherwise("text/html")
+    u = F.concat(F.regexp_replace("url", r"[?#].*", ""), F.when(F.col("page_id") % 2 == 0, "/api/data.json").otherwise(""))
+    return _urls(spark, d).select("page_id", network.should_capture(u, kind, F.lit("xhr"), F.lit("www.example.com")).alias("captured"))
+
+
+def direct_candidates(spark, d):
+    rows = _urls(spark, d).select(F.col("page_id").alias("request_id"), F.concat(F.lit("read "), F.col("url")).alias("query"))
+    out = discovery.direct_candidates(rows)
+    return out.select("request_id", "url", "domain", "title", F.round("discovery_score", 4).alias("discovery_score"), "source_type", "evidence_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows relevant_lines section_map"
+    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows relevant_lines section_map should_capture direct_candidates"
     return {n: globals()[n] for n in names.split()}
 
 

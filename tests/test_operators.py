@@ -59,3 +59,31 @@ def test_lines(spark):
     assert {r["line"]: r["t"] for r in flags} == {"Alpha": False, "Beta 2021": True, "plain": True}
     n = lambda *x: spark.range(1).select(lines.confidence(*map(F.lit, x))).first()[0]
     assert [n(1, 1, 0, 0, 0), n(0, 1, 20, 0, 0), n(0, 0, 0, 1, 0), n(0, 0, 0, 0, 501), n(0, 0, 0, 0, 55)] == ["high", "medium_high", "medium", "low", "very_low"]
+
+
+def test_capture(spark):
+    from marram.operators import network
+
+    rows = [("https://example.com/api/x", "application/json", "xhr", True), ("https://example.com/page", "text/plain", "fetch", False), ("https://example.com/data/x", "text/plain", "", True), ("https://other.org/x", "application/json", "xhr", False), ("https://other.org/api", "application/json", "xhr", True), ("https://example.com/app.js", "application/json", "xhr", False), ("https://example.com/api", "text/html", "xhr", False), ("https://example.com/api", "application/json", "document", False), (None, None, None, False)]
+    df = spark.createDataFrame(rows, "u string, c string, r string, want boolean")
+    assert [r[0] for r in df.select(network.should_capture(F.col("u"), F.col("c"), F.col("r"), F.lit("www.example.com"))).collect()] == [r[3] for r in rows]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    length = lambda e, n: one(network.bounded_length(F.lit(e), F.lit(n)))
+    assert [length(None, "12"), length("gzip", "12"), length("identity", "0"), length("", "x"), length("", "99999999")] == [12, None, None, None, None]
+    body = lambda b, f, d, t: one(network.decoded_body(F.lit(b), F.lit(f), F.lit(d), F.lit(t)))
+    assert [body("aGk=", True, 10, 5.0), body("hi", False, 10, 5.0), body("hi", False, 1, 5.0), body("hi", False, 10, 0.0), body("!!", True, 10, 5.0)] == ["hi", "hi", None, None, None]
+    url = lambda u: one(network.diagnostic_url(F.lit(u)))
+    assert [url("https://me:pw@Example.com:8443/x?token=1"), url("data:abc"), url("")] == ["https://example.com:8443", "data", "unknown"]
+
+
+def test_direct_candidates_and_cache(spark):
+    from marram.operators import discovery, pages
+
+    requests = spark.createDataFrame([("q", "read https://docs.docker.com/install/ and https://example.com now"), ("r", "no links")], "request_id string, query string")
+    rows = discovery.direct_candidates(requests).orderBy("ix").collect()
+    assert [(r["url"], r["title"], r["discovery_score"]) for r in rows] == [("https://docs.docker.com/install/", "docs.docker.com/install", 13.95), ("https://example.com/", "example.com/", 10.0)]
+    key = pages.cache_key("scrape", F.col("u"))
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "u string").select("u", key.alias("cache_key"), F.lit("2026-01-01 01:00:00").cast("timestamp").alias("as_of"))
+    cache = df.where("u is not null").select("cache_key", F.when(F.col("u") == "a", "2026-01-01 00:50:00").otherwise("2025-12-01").cast("timestamp").alias("cached_at"), F.lit("body").alias("result"))
+    got = {r["u"]: (r["state"], r["result"]) for r in pages.lookup(df, cache).collect()}
+    assert got == {"a": ("fresh", "body"), "b": ("expired", None), None: (None, None)}
