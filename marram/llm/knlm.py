@@ -7,7 +7,9 @@ set for each shard of the hashes; workers map them and look up batches of hashes
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -65,6 +67,18 @@ def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
         os.replace(part, f"{folder}/{name}.{k}.npy")
 
 
+def _mapped(where: str) -> np.ndarray | None:
+    """An array in a mapped file, or None for an empty one. No file stays open, as there is one for each shard and array."""
+    with open(where, "rb") as f:
+        np.lib.format.read_magic(f)
+        shape, _, kind = np.lib.format.read_array_header_1_0(f)
+        at = f.tell()
+        if not np.prod(shape):
+            return None
+        held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+    return np.frombuffer(held, kind, offset=at).reshape(shape)
+
+
 def _by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
     """The rows of each shard together; rows come sorted by shard."""
     at, held = None, []
@@ -188,8 +202,7 @@ class Model:
     def _map(self, name: str, k: int, part: str) -> np.ndarray | None:
         where = f"{self.folder}/{name}-{k}.{part}.npy"
         if where not in self.maps:
-            found = np.load(where, mmap_mode="r") if os.path.exists(where) else None
-            self.maps[where] = None if found is None or not found.size else found
+            self.maps[where] = _mapped(where) if os.path.exists(where) else None
         return self.maps[where]
 
     def _find(self, name: str, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
