@@ -82,7 +82,7 @@ def base_counts(text: Column) -> Column:
     ))
 
 
-def distance(p: Column, q: Column) -> Column:
+def distance(left: Column, right: Column) -> Column:
     """Jensen-Shannon distance, base 2, of two arrays of counts of the same size; null if one has no counts."""
 
     def total(a: Column) -> Column:
@@ -91,18 +91,23 @@ def distance(p: Column, q: Column) -> Column:
     def term(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    def of(np: Column, nq: Column) -> Column:
+    def of(p: Column, q: Column, np: Column, nq: Column) -> Column:
         both = F.zip_with(p, q, lambda a, b: F.struct((a / np).alias("a"), (b / nq).alias("b")))
         both = F.transform(both, lambda x: term(x["a"], (x["a"] + x["b"]) / 2) + term(x["b"], (x["a"] + x["b"]) / 2))
         return F.sqrt(F.greatest(F.lit(0.0), total(both) / 2))
 
-    return let(total(p), lambda np: let(total(q), lambda nq: F.when((np > 0) & (nq > 0), of(np, nq))))
+    ready = lambda p, q, np, nq: F.when((np > 0) & (nq > 0), of(p, q, np, nq))
+    return let(left, lambda p: let(right, lambda q: let(total(p), lambda np: let(total(q), lambda nq: ready(p, q, np, nq)))))
 
 
 def common_hist(words: Column, common: Column) -> Column:
     """How often each common word comes in words, and last all other words, as doubles."""
-    hits = let(F.filter(words, lambda w: F.array_contains(common, w)), lambda h: F.transform(common, lambda c: F.size(F.filter(h, lambda w: w == c)).cast("double")))
-    return let(hits, lambda h: F.concat(h, F.array(F.size(words) - F.aggregate(h, F.lit(0.0), lambda a, x: a + x))))
+
+    def of(w: Column) -> Column:
+        hits = let(F.filter(w, lambda x: F.array_contains(common, x)), lambda h: F.transform(common, lambda c: F.size(F.filter(h, lambda x: x == c)).cast("double")))
+        return let(hits, lambda h: F.concat(h, F.array(F.size(w) - F.aggregate(h, F.lit(0.0), lambda a, x: a + x))))
+
+    return let(words, of)
 
 
 def class_hist(counts: Column) -> Column:
@@ -158,7 +163,7 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     count against it. A null text is empty; a null or rare language is held against all documents together. The rows
     aren't shuffled: the references, at most MOST_LANGS + 1 rows of 1/COMMON_SHARE words, are broadcast.
     """
-    ref, lang, counts, out = fresh(docs, "_ref", "_lang", "_counts", "quality")
+    ref, lang, out = fresh(docs, "_ref", "_lang", "quality")
     refs = written(references(docs, text_col, lang_col).coalesce(1), "references")
     own = refs.where("ref_lang is not null").select(F.col("ref_lang").alias(lang), F.struct("ref_chars", "ref_words", "ref_counts").alias(ref))
     every = refs.where("ref_lang is null").first()
@@ -167,21 +172,23 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         F.array(*map(F.lit, every["ref_words"])).cast("array<string>").alias("ref_words"),
         F.array(*map(F.lit, every["ref_counts"])).alias("ref_counts"),
     )
+
+    def verdict(c: Column, d: Column) -> Column:
+        failed = (c["n_words"] < BASE_LEAST_WORDS) | (100 * c["n_repeat_words"] > BASE_MOST_REPEATED * c["n_words"])
+        far = ((d["chars"] > most_char_distance) & (c["n_chars"] >= LEAST_CHARS)) | ((d["words"] > most_word_distance) & (c["n_words"] >= LEAST_WORDS))
+        return let(failed, lambda f: F.struct(
+            *[c[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+            f.alias("base_failed"), d["chars"].alias("char_distance"), d["words"].alias("word_distance"),
+            (~f & ~F.coalesce(far, F.lit(False))).alias("kept"),
+        ))
+
+    def distances(c: Column, r: Column) -> Column:
+        return F.struct(distance(class_hist(c), r["ref_chars"]).alias("chars"), distance(common_hist(lower_words(F.col(text_col)), r["ref_words"]), r["ref_counts"]).alias("words"))
+
+    # one expression that reads the text once for each count, so that a filter on it can't repeat them
+    whole = let(base_counts(F.col(text_col)), lambda c: let(let(F.coalesce(F.col(ref), spare), lambda r: distances(c, r)), lambda d: verdict(c, d)))
     rows = docs.join(F.broadcast(own), docs[lang_col].cast("string") == F.col(lang), "left")
-    rows = rows.withColumn(counts, base_counts(F.col(text_col)))
-    held = let(F.coalesce(F.col(ref), spare), lambda r: F.struct(
-        distance(class_hist(F.col(counts)), r["ref_chars"]).alias("chars"),
-        distance(common_hist(lower_words(F.col(text_col)), r["ref_words"]), r["ref_counts"]).alias("words"),
-    ))
-    c = F.col(counts)
-    failed = (c["n_words"] < BASE_LEAST_WORDS) | (100 * c["n_repeat_words"] > BASE_MOST_REPEATED * c["n_words"])
-    far = lambda d: ((d["chars"] > most_char_distance) & (c["n_chars"] >= LEAST_CHARS)) | ((d["words"] > most_word_distance) & (c["n_words"] >= LEAST_WORDS))
-    verdict = let(held, lambda d: F.struct(
-        *[c[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        failed.alias("base_failed"), d["chars"].alias("char_distance"), d["words"].alias("word_distance"),
-        (~failed & ~F.coalesce(far(d), F.lit(False))).alias("kept"),
-    ))
-    return rows.withColumn(out, verdict).drop(ref, lang, counts)
+    return rows.withColumn(out, whole).drop(ref, lang)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
