@@ -4,6 +4,7 @@ A document is the set of its word shingles. Small (light) sets: all subsets that
 each is a key, and sets with a common key are linked by their sizes alone. Large (heavy) sets: inverted lists are scanned.
 A list for each shingle would be long for frequent ones, so a heavy set is dealt into more cells, by hash, than linked sets
 can have differing shingles: linked sets then agree on the content of a cell, and a list holds the sets with that content.
+Cells with few shingles or none say little; a set leaves them out if they are fewer than the cells that linked sets agree on.
 The boundary is where the subsets of a size cost more than its cells. A list isn't paired out: its smallest set is held
 against the others (exactly, on the whole sets), and links join components. Where sets of a list then lie in different
 components, those outside the main one are held against all in blocks, which hand out joined components only. So all links
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import floor
+from math import exp, floor, sqrt
 
 import numpy as np
 import pandas as pd
@@ -81,12 +82,29 @@ class Sizes:
             g, top = g + 1, max(top + 1, floor(top / self.t))
         return g
 
-    def cells(self, g: int) -> int:
-        """One more than linked sets can differ, the smaller of them in this group."""
+    def differ(self, g: int) -> int:
+        """Most shingles that linked sets can differ in, the smaller of them in this group."""
         top = 1
         for _ in range(g):
             top = max(top + 1, floor(top / self.t))
-        return floor((top + floor(top / self.t)) * (1 - self.t) / (1 + self.t)) + 1
+        return floor((top + floor(top / self.t)) * (1 - self.t) / (1 + self.t))
+
+    def layout(self, g: int) -> tuple[int, int]:
+        """(cells of the sets of a group, most shingles of a poor cell): more cells than the sets can differ in, and so many
+        more that poor ones are, for nearly all sets, fewer than those that agree. Poor cells have one shingle or none, or
+        none where that needs too many cells; -1 if no number does it."""
+        d, least = self.differ(g), 1
+        for _ in range(g - 1):
+            least = max(least + 1, floor(least / self.t))
+        for most in (1, 0):
+            for c in range(d + 1, floor(1.3 * d) + 2):
+                poor = c * exp(-least / c) * (1 + most * least / c)
+                if c - d > poor + 3 * sqrt(poor) + 1:
+                    return c, most
+        return d + 1, -1
+
+    def cells(self, g: int) -> int:
+        return self.layout(g)[0]
 
     def boundary(self) -> int:
         """The largest size up to which a set goes by its subsets: one shingle may be missing, and subsets cost less."""
@@ -110,17 +128,22 @@ def keys_of(h: np.ndarray, sizes: Sizes, light_to: int, memo: dict) -> tuple[np.
         if s >= sizes.t * (light_to + 1):
             if s not in memo:
                 g = sizes.group(s)
-                memo[s] = [(k, sizes.cells(k)) for k in (g, g - 1) if k >= 0]
+                memo[s] = [(k, *sizes.layout(k), sizes.differ(k)) for k in (g, g - 1) if k >= 0]
             m = mixed(h ^ _MIX[1])
-            for g, cells in memo[s]:
+            for g, cells, most, differ in memo[s]:
                 at = (h % np.uint64(cells)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 starts = np.flatnonzero(np.diff(at[order], prepend=-1))
                 content = np.zeros(cells, np.uint64)
                 content[at[order][starts]] = np.add.reduceat(m[order], starts)
                 place = np.arange(cells, dtype=np.uint64) * _MIX[0] + np.uint64(g + 1) * _MIX[2]
-                out.append(mixed(content + mixed(place)))
-                flags.append(np.zeros(cells, bool))
+                keys = mixed(content + mixed(place))
+                # linked sets agree on cells - differ cells at least; where a set has fewer poor cells, a rich one is among them
+                poor = np.bincount(at, minlength=cells) <= most
+                if poor.sum() < cells - differ:
+                    keys = keys[~poor]
+                out.append(keys)
+                flags.append(np.zeros(len(keys), bool))
     return np.concatenate(out).astype(np.int64), np.concatenate(flags)
 
 
