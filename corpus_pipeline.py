@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of 2048 tokens."""
-    return packing.packed(docs, **tokenizer())
+    """Packing into sequences of 2048 tokens, which follow the order of the mix."""
+    return packing.packed(docs, **tokenizer(), in_order=True)
 
 
 STAGES = [

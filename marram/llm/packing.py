@@ -22,6 +22,11 @@ from marram.llm.common import n_buckets, running, written
 CAPACITY = 2048
 #: Rounds of multiplicative weights, and the step of the weights.
 ROUNDS, STEP = 400, 0.3
+#: A table packed in its own order is packed window by window: at least and at most so many sequences, and so many windows between.
+LEAST_WINDOW, MOST_WINDOW, WINDOWS = 256, 8192, 16
+
+#: Where a row lies in the files of its table: the number of the file, times ROWS_A_FILE, and of the row in it.
+AT, ROWS_A_FILE = "_at", 2**40
 
 _state: dict = {}
 
@@ -44,7 +49,8 @@ def encoder(ranks_path: str, pattern: str):
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, piece, start, length, ids_crc32): the pieces of each document's ids with the end id after them.
 
-    Only a document of more than the capacity is cut: the first piece takes the remainder, all others are full.
+    Only a document of more than the capacity is cut: the first piece takes the remainder, all others are full. A column
+    AT, as in_file_order gives it, is kept.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -52,19 +58,20 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPAC
         encode = encoder(ranks_path, pattern)
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b["id"], b["text"], strict=True):
+            for doc, text, *more in zip(*(b[c] for c in b.columns), strict=True):
                 ids = encode(text or "") + end
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
                     size = (n - 1) % capacity + 1 if k == 0 else capacity
-                    out.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                    out.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), *more))
                     at, k = at + size, k + 1
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"]).astype({"id": b["id"].dtype})
+            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", *keep]).astype({"id": b["id"].dtype})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    keep = [c for c in docs.columns if c == AT]
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
+    return rows.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + "".join(f", {c} long" for c in keep))
 
 
 def best_config(values: np.ndarray, capacity: int, sizes: np.ndarray) -> np.ndarray:
@@ -185,12 +192,86 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, id_col:
     )
 
 
-def packed(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spread(configs: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
+    """(length, rank, sequence, offset): the place of each piece, with the sequences of every configuration spread evenly.
+
+    Sequences take the pieces of a length in the order of their ranks, so pieces at the same share of their lengths' ranks
+    come together.
+    """
+    times = [t for _, t in configs]
+    which = np.repeat(np.arange(len(times)), times)
+    turn = np.concatenate([(np.arange(t) + 0.5) / t for t in times])
+    number = np.empty(len(which), np.int64)
+    number[np.lexsort((which, turn))] = np.arange(len(which))
+    parts, first = [], 0
+    for config, t in configs:
+        own, base = number[first : first + t], 0
+        for size in sorted(config, reverse=True):
+            n = config[size]
+            parts.append((np.full(n * t, size, np.int64), np.repeat(own, n), np.tile(base + size * np.arange(n, dtype=np.int64), t)))
+            base += n * size
+        first += t
+    out = pd.DataFrame(dict(zip(("length", "sequence", "offset"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+    out = out.sort_values(["length", "sequence", "offset"])
+    out["rank"] = out.groupby("length").cumcount()
+    return out[["length", "rank", "sequence", "offset"]]
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs, as read from files, with the column AT that orders rows as they were written."""
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_line"))
+    paths = sorted((r["_path"] for r in rows.select("_path").distinct().collect()), key=lambda p: (len(p), p))
+    table = docs.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], "_path string, _file long")
+    rows = rows.join(F.broadcast(table), "_path")
+    return rows.select(*docs.columns, (F.col("_file") * ROWS_A_FILE + F.col("_line")).alias(AT))
+
+
+def pack_in_order(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, window: int | None = None) -> DataFrame:
+    """The rows of cut, a written table with AT, with sequence_id and offset; sequences follow the order of AT.
+
+    The order is cut into windows of so many sequences' tokens. Each is packed on its own, by its own plan, and the
+    sequences of a window come after those of the windows before; in a window pieces of one length are taken in order and
+    the configurations are spread evenly. So no piece leaves its window, however lengths change along the table. Plans are
+    made by tasks, one a window; the driver sees a number for each window.
+    """
+    spark = cut.sparkSession
+    total = cut.agg(F.sum("length").alias("n")).first()["n"] or 0
+    span = capacity * (window or max(LEAST_WINDOW, min(MOST_WINDOW, total // capacity // WINDOWS)))
+    rows = running(cut, [], F.shiftright(AT, 10), [F.col(AT), F.col("piece")], F.col("length"), "_start_token")
+    rows = written(rows.withColumn("_window", F.floor(F.col("_start_token") / span).cast("long")), "windows")
+    histogram = written(rows.groupBy("_window", "length").agg(F.count("*").alias("n")), "histogram")
+    buckets = n_buckets(histogram.agg(F.max("n").alias("n")).first()["n"] or 0)
+
+    def lay(part: pd.DataFrame) -> pd.DataFrame:
+        out = spread(plan({int(s): int(n) for s, n in zip(part["length"], part["n"], strict=True)}, capacity, rounds))
+        out.insert(0, "_window", part["_window"].iloc[0])
+        return out
+
+    # a number of partitions that is asked for isn't merged: small tables, but each window's plan takes seconds
+    laid = histogram.repartition(max(1, total // span + 1), "_window").groupBy("_window").applyInPandas(lay, "_window long, length long, rank long, sequence long, offset long")
+    laid = written(laid, "laid")
+    held = sorted((r["_window"], r["n"]) for r in laid.groupBy("_window").agg((F.max("sequence") + 1).alias("n")).collect())
+    firsts, first = [], 0
+    for w, n in held:
+        firsts.append((w, first))
+        first += n
+    table = spark.createDataFrame(firsts, "_window long, _first long")
+    bucket = F.floor(F.pmod("_start_token", F.lit(span)) * buckets / span)
+    rows = running(rows, ["_window", "length"], bucket, [F.col(AT), F.col("piece")], None, "rank")
+    rows = rows.join(laid, ["_window", "length", "rank"]).join(F.broadcast(table), "_window")
+    return rows.select(*[c for c in cut.columns if c != AT], (F.col("_first") + F.col("sequence")).alias("sequence_id"), "offset")
+
+
+def packed(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False, window: int | None = None) -> DataFrame:
     """One row per piece of docs: (id_col, piece, start, length, ids_crc32, sequence_id, offset).
 
     A null text is empty: one piece of the end id alone. Equal rows are packed as often as they come. An empty table gives
-    an empty result. Other columns of docs play no part.
+    an empty result. Other columns of docs play no part. With in_order, docs must be read from files as they are, and
+    sequence_id follows the order in which their rows were written.
     """
+    if in_order:
+        cut = written(pieces(in_file_order(docs), ranks_path, pattern, capacity, end_id, id_col, text_col), "pieces")
+        return pack_in_order(cut, capacity, rounds, window).withColumnRenamed("id", id_col)
     cut = pieces(docs, ranks_path, pattern, capacity, end_id, id_col, text_col)
     cut = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(cut, capacity, rounds).withColumnRenamed("id", id_col)

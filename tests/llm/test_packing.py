@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marram.llm import packing
@@ -66,3 +67,33 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     where = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
     assert packing.packed(docs, **where).count() == 0
+
+
+def test_spread_holds_exactly_the_pieces():
+    rng = random.Random(4)
+    histogram = {s: rng.randint(1, 60) for s in rng.sample(range(1, 101), 30)}
+    got = packing.spread(packing.plan(histogram, 100, 60))
+    assert got.groupby("length").size().to_dict() == histogram
+    for _, own in got.groupby("length"):
+        assert list(own["rank"]) == list(range(len(own))) and own["sequence"].is_monotonic_increasing
+    assert set(got["sequence"]) == set(range(got["sequence"].max() + 1))
+    for _, own in got.sort_values("offset").groupby("sequence"):
+        assert list(own["offset"]) == [0, *own["length"].cumsum()][:-1] and own["length"].sum() <= 100
+
+
+def test_sequences_follow_the_order_of_files(spark, tmp_path):
+    """Long texts first, short ones then, against the order of ids: no piece leaves its window of 4 sequences."""
+    docs = [(1000 - i, "x y z " * (150 if i < 60 else 40)) for i in range(160)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(3, (-F.col("doc_id")).alias("k")).sortWithinPartitions(-F.col("doc_id"))
+    frame.write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    where = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    rows = packing.packed(read, **where, rounds=20, in_order=True, window=4).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _ in docs)
+    at, window = 0, {}
+    for r in sorted(rows, key=lambda r: -r["doc_id"]):
+        window[r["doc_id"]] = at // (4 * 2048)
+        at += r["length"]
+    order = [window[r["doc_id"]] for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]))]
+    assert max(order) > 2 and order == sorted(order)
+    assert packing.packed(spark.read.parquet(f"{tmp_path}/t").where("doc_id < 0"), **where, in_order=True).count() == 0

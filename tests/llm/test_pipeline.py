@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from marram.llm import mixing
 
 
 def test_stages_chain(spark, tmp_path):
@@ -28,3 +29,25 @@ def test_stages_chain(spark, tmp_path):
     assert kept["ngram_jaccard"] == every - {122, 0, 121} == kept["mixing"]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == kept["mixing"]
+
+
+def test_sequences_keep_the_mix(spark, tmp_path):
+    """Of the packed tokens, each source has its target share in any run of sequences from the first on; ids lie by source."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(400)]
+    sizes = {"a": (900, 150), "b": (300, 150)}
+    rows = []
+    for s, (n, length) in sizes.items():
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(length)), "en", s, 0) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixing.mixed(docs, {"a": 1, "b": 1}, block_chars=5000).write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/mixed"), str(tmp_path)).collect()
+    source = {r[0]: r[3] for r in rows}
+    assert sorted({r["doc_id"] for r in out}) == sorted(source)
+    tokens = {s: sum(r["length"] for r in out if source[r["doc_id"]] == s) for s in sizes}
+    got, seen = 0, 0
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        got, seen = got + r["length"] * (source[r["doc_id"]] == "b"), seen + r["length"]
+        if seen < 2 * tokens["b"]:
+            assert abs(got - seen / 2) < 0.04 * tokens["b"] + 4 * 2048
+    assert got == tokens["b"]
