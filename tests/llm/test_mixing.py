@@ -1,7 +1,7 @@
 import random
 from fractions import Fraction
 
-from marram.llm.mixing import mixed, period_table, phases, schedule, whole_weights
+from marram.llm.mixing import mixed, period_table, phases, schedule, timetable, whole_weights
 
 
 def test_lag_is_under_one_block():
@@ -66,3 +66,39 @@ def test_mixed_keeps_rows_and_order(spark):
     assert out.columns == docs.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert mixed(docs.limit(0)).count() == 0 and schedule(docs.limit(0)).count() == 0
+
+
+def lag(weights, blocks):
+    """Largest difference of blocks done and blocks of the fluid schedule, each source's share of slots while it lasts."""
+    plan = timetable(weights, blocks)
+    who = {slot: s for s, own in plan.items() for slot in own[2]}
+    assert sorted(who) == list(range(sum(blocks.values())))
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    fluid, done, worst = dict.fromkeys(blocks, Fraction(0)), dict.fromkeys(blocks, 0), Fraction(0)
+    for slot in range(len(who)):
+        left = Fraction(1)
+        while left:
+            here = [s for s in blocks if fluid[s] < blocks[s]]
+            total = sum(exact[s] for s in here)
+            step = min([left, *((blocks[s] - fluid[s]) * total / exact[s] for s in here)])
+            for s in here:
+                fluid[s] += step * exact[s] / total
+            left -= step
+        done[who[slot]] += 1
+        worst = max(worst, *(abs(done[s] - fluid[s]) for s in blocks))
+    for releases, deadlines, slots in plan.values():
+        assert all(a <= c < b for a, b, c in zip(releases, deadlines, slots, strict=True))
+    return worst
+
+
+def test_lag_against_unrounded_weights():
+    rng = random.Random(9)
+    for _ in range(40):
+        w = {f"s{i}": Fraction(rng.randint(1, 99), rng.randint(1, 99)) for i in range(rng.randint(1, 6))}
+        assert lag(w, {s: rng.randint(0, 25) for s in w} | {"s0": 3}) < 1
+    plan = timetable({"a": 0.9999, "b": 0.0001}, {"a": 99_990, "b": 10})
+    assert all(abs(slot - 10_000 * k) <= 10_000 for k, slot in enumerate(plan["b"][2]))
+    hot = {"hot": 9.5**0.7, **{f"s{i}": 1.0 for i in range(19)}}
+    slots = timetable(hot, {s: 22_000 if s == "hot" else 4500 for s in hot})["hot"][2]
+    share = Fraction(hot["hot"]) / sum(map(Fraction, hot.values()))
+    assert len(slots) == 22_000 and all(-1 < k + 1 - share * (slot + 1) < 1 for k, slot in enumerate(slots) if slot < 100_000)
