@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from marram.llm.common import fresh, n_buckets, running, written
 
-#: Characters of a block; sources beyond MOST_SOURCES by size are scheduled as one; whole weights are shares of PERIOD slots.
-BLOCK_CHARS, MOST_SOURCES, PERIOD = 100_000, 64, 1000
+#: Characters of a block; whole weights are shares of PERIOD slots.
+BLOCK_CHARS, PERIOD = 100_000, 1000
 #: Blocks of a source in one row of the plan.
 PART = 1000
 
@@ -139,39 +139,41 @@ def timetable(weights: Mapping, blocks: Mapping[str, int]) -> dict[str, tuple[ar
 def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_chars: int = BLOCK_CHARS, temperature: float = 0.7) -> DataFrame:
     """One row per row of docs: (id_col, source, stream, block, release, deadline, slot, place).
 
-    weights gives the target share of each source by characters; sources that it doesn't name share the stream "". Without
-    weights the MOST_SOURCES largest sources get shares of their characters to the power temperature and the rest is the
-    stream "". A null source counts as "". Within a stream documents are dealt by a hash of id and text; a document belongs
+    weights gives the target share of each source by characters; sources that it doesn't name, and null, share the stream
+    "". Without weights every source is a stream, null and "" too, with a share of its characters to the power temperature.
+    Within a stream documents are dealt by a hash of id and text; a document belongs
     to the block where it begins, so a block may hold none if a long document covers it. slot orders blocks, place the
     documents of a block: ordering by slot, place gives the mix. Every row stays, once. Releases, deadlines and slots are
     those of timetable: a stream's blocks differ from its share of the slots by less than one, with the weights as they
     are; a stream that ends leaves its slots to the others. The driver holds three numbers a block. A null text has no
     characters and still gets a place.
     """
-    name = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    name = F.col(source_col).cast("string")
     chars = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), name.alias("source"), chars.alias("chars"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("deal"))
     # equal rows need an order too; a written table keeps the numbers that its rows were given
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
+    shares = {s: float(w) for s, w in (weights or {}).items() if w > 0}
     if weights is None:
-        largest = {r["source"]: float(r["chars"]) for r in sizes.where("source <> ''").orderBy(F.desc("chars"), "source").limit(MOST_SOURCES).collect()}
-        shares = {s: max(c, 1.0) ** temperature for s, c in largest.items()}
+        stream = F.col("source")
     else:
-        shares = {s: float(w) for s, w in weights.items() if w > 0}
-    stream = F.when(F.col("source").isin(*shares), F.col("source")).otherwise("") if shares else F.lit("")
+        stream = F.when(F.col("source").isin(*shares), F.col("source")).otherwise("") if shares else F.lit("")
     totals = {r["stream"]: (r["chars"], r["n"]) for r in sizes.groupBy(stream.alias("stream")).agg(F.sum("chars").alias("chars"), F.sum("n").alias("n")).collect()}
-    if "" in totals and "" not in shares:
-        shares[""] = max(totals[""][0], 1) ** temperature if weights is None else sum(shares.values()) / max(1, len(shares))
+    if weights is None:
+        shares = {s: max(c, 1) ** temperature for s, (c, _) in totals.items()}
+    elif "" in totals and "" not in shares:
+        shares[""] = sum(shares.values()) / max(1, len(shares)) or 1.0
     counts = {s: max(1, -(-c // block_chars)) for s, (c, _) in totals.items()}
-    plan = timetable({s: shares[s] for s in sorted(totals)}, {s: counts[s] for s in sorted(totals)})
+    order = sorted(totals, key=lambda s: (s is not None, s))
+    plan = timetable(shares, {s: counts[s] for s in order})
     buckets = n_buckets(max((n for _, n in totals.values()), default=0))
     placed = running(rows.withColumn("stream", stream), ["stream"], F.floor((F.col("deal") / 2.0**64 + 0.5) * buckets), [F.col("deal"), F.col("row")], F.col("chars"), "_before")
     lasts = rows.sparkSession.createDataFrame([(s, n - 1) for s, n in counts.items()], "s string, last long")
-    placed = placed.join(F.broadcast(lasts), F.col("stream") == F.col("s")).withColumn("block", F.least(F.floor(F.col("_before") / block_chars), F.col("last")).cast("long")).drop("s")
+    placed = placed.join(F.broadcast(lasts), F.col("stream").eqNullSafe(F.col("s"))).withColumn("block", F.least(F.floor(F.col("_before") / block_chars), F.col("last")).cast("long")).drop("s")
     parts = [(s, k // PART, *(x[k : k + PART].tolist() for x in own)) for s, own in plan.items() for k in range(0, counts[s], PART)]
     table = rows.sparkSession.createDataFrame(parts, "s string, part long, releases array<long>, deadlines array<long>, slots array<long>")
-    out = placed.join(F.broadcast(table), (F.col("stream") == F.col("s")) & (F.floor(F.col("block") / PART) == F.col("part")))
+    out = placed.join(F.broadcast(table), (F.col("stream").eqNullSafe(F.col("s"))) & (F.floor(F.col("block") / PART) == F.col("part")))
     k = F.pmod("block", F.lit(PART)).cast("int")
     return out.select(
         F.col("id").alias(id_col), "source", "stream", "block",

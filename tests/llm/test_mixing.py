@@ -102,3 +102,18 @@ def test_lag_against_unrounded_weights():
     slots = timetable(hot, {s: 22_000 if s == "hot" else 4500 for s in hot})["hot"][2]
     share = Fraction(hot["hot"]) / sum(map(Fraction, hot.values()))
     assert len(slots) == 22_000 and all(-1 < k + 1 - share * (slot + 1) < 1 for k, slot in enumerate(slots) if slot < 100_000)
+
+
+def test_every_source_has_its_own_stream(spark):
+    """More than 64 sources, and null and "" as two of their own, each with less than one block of lag."""
+    docs = [(100 * i + j, "x" * 1000, s) for i, s in enumerate([None, "", *(f"s{i:03}" for i in range(98))]) for j in range(60 if i == 0 else 5 + i % 3)]
+    got = schedule(spark.createDataFrame(docs, "doc_id long, text string, source string"), block_chars=1000).collect()
+    assert len(got) == len(docs) and all(r["stream"] == r["source"] for r in got)
+    assert {r["doc_id"]: r["source"] for r in got} == {i: s for i, _, s in docs}
+    assert sorted(r["slot"] for r in got) == list(range(len(docs)))
+    n = {s: sum(d[2] == s for d in docs) for s in {d[2] for d in docs}}
+    w = {s: (1000 * k) ** 0.7 for s, k in n.items()}
+    first_end = min(n[s] / w[s] for s in n) * sum(w.values())
+    for s in n:
+        slots = sorted(r["slot"] for r in got if r["source"] == s)
+        assert all(abs(k + 1 - w[s] / sum(w.values()) * (slot + 1)) < 1 for k, slot in enumerate(slots) if slot + 1 < first_end)
