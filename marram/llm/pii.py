@@ -25,8 +25,11 @@ FORMS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: A value that may be an identifier: a run of figures with their separators, or a word with a figure or an at sign.
-CANDIDATE = r"(?<!\S)(?:[(+]?[0-9][0-9().\x20-]{4,60}[0-9](?!\S)|\S*[0-9@]\S*)"
+#: Marks before and after a value; a bracket around the first figures of several, (202) 555, belongs to the value.
+FRONT, BACK = r"^(?:[\"'<\[{]|\((?![0-9]+\)[().\x20-]*[0-9]))+", r"[\"'.,;:!?)>\]}*%&$#]"
+#: A value that may be an identifier, with marks after it: a run of figures with their separators, or a word with a figure
+#: or an at sign.
+CANDIDATE = rf"(?<!\S)(?:[\"'<\[{{(]*[(+]?[0-9][0-9().\x20-]{{4,60}}[0-9]{BACK}*+(?!\S)|\S*[0-9@]\S*)"
 #: What a candidate must look like to be of a kind.
 SHAPES = {
     "email": r"^[^@]+@[^@]+$",
@@ -96,8 +99,8 @@ def candidate_spans(text: Column, base: Column) -> Column:
     """Array of candidates without the marks around them, none that overlaps a span of the base."""
 
     def trimmed(x: Column) -> Column:
-        front = F.length(x["v"]) - F.length(F.regexp_replace(x["v"], r"^[\"'(<\[{]+", ""))
-        v = F.regexp_replace(F.regexp_replace(x["v"], r"^[\"'(<\[{]+", ""), r"[\"'.,;:!?)>\]}*%&$#]+$", "")
+        front = F.length(x["v"]) - F.length(F.regexp_replace(x["v"], FRONT, ""))
+        v = F.regexp_replace(F.regexp_replace(x["v"], FRONT, ""), BACK + "+$", "")
         return F.struct((x["s"] + front).alias("s"), (x["s"] + front + F.length(v)).cast("long").alias("e"), v.alias("v"), x["l"].alias("l"), x["r"].alias("r"))
 
     fits = lambda x: F.lit(False) if not SHAPES else _any([x["v"].rlike(form) for form in SHAPES.values()])

@@ -53,3 +53,22 @@ def test_contexts_find_unseen_forms(spark):
 
 def test_no_rows_and_no_seeds(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_spaced_numbers_before_marks(spark):
+    seeds = [f"please call me at +1 (202) 555-01{i:02d} tonight" for i in range(20)]
+    unseen = {
+        "please call me at 555 867 5309 tonight": "555 867 5309",
+        "please call me at 555 867 5310, thanks": "555 867 5310",
+        "please call me at 555 867 5311.": "555 867 5311",
+        "(please call me at 555 867 5312)": "555 867 5312",
+        "please call me at 555 867 5313). Or not": "555 867 5313",
+        "please call me at (202) 555 0147.": "(202) 555 0147",
+        "please call me at (555 867 5314), thanks": "555 867 5314",
+        'please call me at "555 867 5315", thanks': "555 867 5315",
+        "please call me at (5558675316)": "5558675316",
+    }
+    docs = spark.createDataFrame(list(enumerate([*seeds, *unseen])), "doc_id long, text string")
+    rows = {r["doc_id"]: r["added"] for r in pii.personal_data(docs).collect()}
+    for i, (text, value) in enumerate(unseen.items(), len(seeds)):
+        assert [(x["kind"], x["v"], text[x["s"] : x["e"]]) for x in rows[i]] == [("phone", value, value)]
