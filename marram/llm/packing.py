@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from marram.llm.common import n_buckets, running, written
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights, and the step of the weights.
-ROUNDS, STEP = 400, 0.3
+#: Rounds of multiplicative weights, the step of the weights, how far under the best value a configuration may be, and how
+#: many pieces are no longer worth a program.
+ROUNDS, STEP, SLACK, FEW = 100, 0.3, 0.005, 64
 #: A table packed in its own order is packed window by window: at least and at most so many sequences, and so many windows between.
-LEAST_WINDOW, MOST_WINDOW, WINDOWS = 256, 8192, 16
+LEAST_WINDOW, MOST_WINDOW, WINDOWS = 256, 8192, 8
 
 #: Where a row lies in the files of its table: the number of the file, times ROWS_A_FILE, and of the row in it.
 AT, ROWS_A_FILE = "_at", 2**40
@@ -31,22 +32,24 @@ AT, ROWS_A_FILE = "_at", 2**40
 _state: dict = {}
 
 
-def encoder(ranks_path: str, pattern: str):
+def encoder(ranks_path: str, pattern: str, specials: Mapping[str, int] | None = None):
     """A function from text to token ids as little-endian unsigned 32-bit bytes, for byte-level BPE.
 
-    ranks_path is a file of base64 tokens and ranks; pattern splits pre-tokens. A worker reads the file once.
+    ranks_path is a file of base64 tokens and ranks; pattern splits pre-tokens; specials are strings that are one id
+    wherever they come in a text. A worker reads the file once.
     """
-    if _state.get("key") != (ranks_path, pattern):
+    specials = dict(specials or {})
+    if _state.get("key") != (ranks_path, pattern, specials):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _state.update(key=(ranks_path, pattern), bpe=tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
+        _state.update(key=(ranks_path, pattern, specials), bpe=tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials))
     bpe = _state["bpe"]
-    return lambda text: np.array(bpe.encode_ordinary(text), "<u4").tobytes()
+    return lambda text: np.array(bpe.encode(text, allowed_special="all"), "<u4").tobytes()
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, specials: Mapping[str, int] | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, piece, start, length, ids_crc32): the pieces of each document's ids with the end id after them.
 
     Only a document of more than the capacity is cut: the first piece takes the remainder, all others are full. A column
@@ -55,7 +58,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPAC
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(ranks_path, pattern)
+        encode = encoder(ranks_path, pattern, specials)
         for b in batches:
             out: list[tuple] = []
             for doc, text, *more in zip(*(b[c] for c in b.columns), strict=True):
@@ -74,86 +77,130 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPAC
     return rows.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + "".join(f", {c} long" for c in keep))
 
 
-def best_config(values: np.ndarray, capacity: int, sizes: np.ndarray) -> np.ndarray:
-    """Unbounded knapsack: how many of each size fill the capacity at the largest total value."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(sizes[0]), capacity + 1):
-        n = int(np.searchsorted(sizes, c, side="right"))
-        got = best[c - sizes[:n]] + values[:n]
+def best_configs(values: np.ndarray, capacity: int, slack: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Knapsack by dynamic programming: configurations (sizes, counts) of the largest total value, or nearly.
+
+    values[s] is the value of a piece of size s, 0 for sizes that there are none of. One table gives, for every size, the
+    best configuration that holds it; those within slack of the best of all come out, the best one first.
+    """
+    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for c in range(1, capacity + 1):
+        got = best[c - 1 :: -1] + values[1 : c + 1]  # got[s - 1]: a piece of size s, then the best of the rest
         k = int(got.argmax())
-        best[c], pick[c] = (got[k], k) if got[k] > best[c - 1] else (best[c - 1], -1)
-    out, c = np.zeros(len(sizes), np.int64), capacity
-    while c >= sizes[0]:
-        if pick[c] >= 0:
-            out[pick[c]] += 1
-            c -= int(sizes[pick[c]])
+        if got[k] > best[c - 1]:
+            best[c], pick[c] = got[k], k + 1
         else:
-            c -= 1
+            best[c] = best[c - 1]
+    sizes = np.flatnonzero(values > 0)
+    held = values[sizes] + best[capacity - sizes]
+    out, done = [], set()
+    for s in sizes[np.argsort(-held, kind="stable")].tolist():
+        if values[s] + best[capacity - s] < (1 - slack) * best[capacity]:
+            break
+        if s in done:
+            continue
+        config, c = {s: 1}, capacity - s
+        while c > 0:
+            k = int(pick[c])
+            if k:
+                config[k] = config.get(k, 0) + 1
+            c -= k or 1
+        done.update(config)
+        out.append((np.array(sorted(config)), np.array([config[k] for k in sorted(config)])))
     return out
 
 
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[np.ndarray, float]]:
-    """A solution of the covering program, min sum x subject to sum x_c c >= demand, as (configuration, x) pairs.
+def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP, slack: float = SLACK) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """A solution of the covering program, min sum x subject to sum x_c c >= demand, as (sizes, counts, x).
 
-    Each round prices sizes by their weights, takes the most valuable configuration and lowers the weights of what it
-    covers; the average of the rounds covers all in proportion, and is scaled until it covers the demand.
+    demand[s] is the number of pieces of size s. Weights begin with the tokens of each size. A round prices sizes by their
+    weights, finds the most valuable configurations, takes as much of each as covers one of its sizes whole, and lowers the
+    weights of what these cover. The rounds together cover the tokens some times over, and are scaled to cover them once;
+    with more rounds all sizes come to be covered alike.
     """
-    log_w, seen = np.zeros(len(sizes)), {}
-    covered = np.zeros(len(sizes))
-    for r in range(rounds):
-        price = np.exp(log_w - log_w.max()) / demand
-        config = np.minimum(best_config(price, capacity, sizes), demand)
-        key = config.tobytes()
-        x = float((demand / np.maximum(config, 1e-9))[config > 0].min())  # as much as covers one of its sizes whole
-        seen[key] = (config, seen.get(key, (config, 0.0))[1] + x)
-        covered += config * x
-        log_w -= step * config * x / demand
-        if r + 1 >= 20 and covered.min() > 0 and (covered / demand).min() > 30:
-            break
-    return [(c, x) for c, x in seen.values()]
-
-
-def fit_left(left: np.ndarray, sizes: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    sizes = np.flatnonzero(demand)
+    covered, seen = np.zeros(capacity + 1), {}
+    scale = np.zeros(capacity + 1)
+    scale[sizes] = sizes / capacity
+    for _ in range(rounds):
+        least = covered[sizes].min()
+        values = scale * np.exp(-step * (covered - least))
+        values[sizes] = np.maximum(values[sizes], 1e-300)
+        for own, n in best_configs(values, capacity, slack):
+            n = np.minimum(n, demand[own])
+            x = float((demand[own] / n).min())
+            key = (own.tobytes(), n.tobytes())
+            seen[key] = (own, n, seen[key][2] + x if key in seen else x)
+            covered[own] += n * x / demand[own]
+    times = float(covered[sizes] @ (sizes * demand[sizes]) / (sizes @ demand[sizes]))
+    return [(own, n, x / times) for own, n, x in seen.values()]
+
+
+def fit_left(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Best-fit decreasing of what is left of each size, sequences of the same content together."""
-    left, out = left.copy(), {}
+    left, out = left.copy(), []
     while left.any():
-        room, config = capacity, np.zeros(len(sizes), np.int64)
-        k = int(np.flatnonzero(left)[-1])
-        while k >= 0:
-            n = min(int(left[k] - config[k]), room // int(sizes[k]))
-            config[k] += n
-            room -= n * int(sizes[k])
-            open_ = np.flatnonzero((left - config > 0) & (sizes <= room))
-            k = int(open_[-1]) if len(open_) else -1
-        times = int((left[config > 0] // config[config > 0]).min())
-        left -= times * config
-        key = config.tobytes()
-        out[key] = (config, out.get(key, (config, 0))[1] + times)
+        room, config = capacity, {}
+        open_ = np.flatnonzero(left)
+        while len(open_):
+            s = int(open_[-1])
+            n = min(int(left[s]), room // s)
+            config[s] = n
+            room -= n * s
+            open_ = open_[: np.searchsorted(open_, min(room, s - 1), side="right")]
+        times = min(int(left[s]) // n for s, n in config.items())
+        for s, n in config.items():
+            left[s] -= n * times
+        out.append((config, times))
+    return out
+
+
+def rounded(found: list[tuple[np.ndarray, np.ndarray, float]], left: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Whole multiplicities of the fractional solution, largest first, as far as the pieces last; left loses them.
+
+    First the whole parts of x, then one more sequence for each fraction whose configuration is as full as they are on average.
+    """
+    out: dict[tuple, tuple[dict[int, int], int]] = {}
+    found = sorted(found, key=lambda f: (-f[2], f[0].tolist(), f[1].tolist()))
+    mean = sum(float(own @ n) * x for own, n, x in found) / sum(x for _, _, x in found)
+    for wanted in (lambda x, tokens: int(x), lambda x, tokens: int(tokens >= mean)):
+        for own, n, x in found:
+            times = min(wanted(x, own @ n), int((left[own] // n).min()))
+            if times > 0:
+                left[own] -= times * n
+                key = (own.tobytes(), n.tobytes())
+                out[key] = (dict(zip(own.tolist(), n.tolist(), strict=True)), out.get(key, (None, 0))[1] + times)
     return list(out.values())
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations {length: pieces} with multiplicities that hold exactly the pieces of the histogram."""
+    """Configurations {length: pieces} with multiplicities that hold exactly the pieces of the histogram.
+
+    The program is solved and rounded; what rounding leaves is a smaller program of the same kind, until the next one would
+    place less than a tenth of its pieces or few are left. Those few are packed best-fit, together with the pieces of
+    configurations that have more room than some bound: the largest bound that needs the fewest sequences.
+    """
     full = histogram.get(capacity, 0)
     out: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
-    sizes = np.array(sorted(s for s in histogram if s < capacity and histogram[s]), np.int64)
-    if not len(sizes):
-        return out
-    demand = np.array([histogram[s] for s in sizes], np.int64)
-    found = fractional(sizes, demand, capacity, rounds)
-    total = sum((c * x for c, x in found), np.zeros(len(sizes)))
-    scale = 1 / float((total / demand).max())  # no size beyond its demand: rounding down then leaves the rest
-    left, chosen = demand.copy(), []
-    for config, x in sorted(found, key=lambda p: -p[1]):
-        used = config > 0
-        times = min(int(x * scale), int((left[used] // config[used]).min()))
-        if times:
-            chosen.append((config, times))
-            left -= times * config
-    # what remains is a smaller program of the same kind: once more, then best fit
-    if rounds > 1 and left.sum() > 4 * len(sizes) and left.sum() < demand.sum():
-        return out + [({int(s): int(n) for s, n in zip(sizes, c, strict=True) if n}, t) for c, t in chosen] + plan({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, capacity, rounds // 2)
-    return out + [({int(s): int(n) for s, n in zip(sizes, c, strict=True) if n}, t) for c, t in chosen + fit_left(left, sizes, capacity)]
+    left = np.zeros(capacity + 1, np.int64)
+    for s, n in histogram.items():
+        if s < capacity:
+            left[s] = n
+    chosen: list[tuple[dict[int, int], int]] = []
+    while left.sum() > FEW:
+        before = int(left.sum())
+        chosen += rounded(fractional(left, capacity, rounds), left)
+        if int(left.sum()) > before * 9 // 10:
+            break
+    ways = []
+    for room in (capacity, *(capacity >> k for k in range(3, 12)), 0):
+        open_ = [capacity - sum(s * k for s, k in c.items()) > room for c, _ in chosen]
+        again = left.copy()
+        for (c, n), o in zip(chosen, open_, strict=True):
+            for s, k in c.items():
+                again[s] += k * n * o
+        ways.append([c for c, o in zip(chosen, open_, strict=True) if not o] + fit_left(again, capacity))
+    return out + min(ways, key=lambda way: sum(n for _, n in way))
 
 
 def places(configs: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -262,7 +309,7 @@ def pack_in_order(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS
     return rows.select(*[c for c in cut.columns if c != AT], (F.col("_first") + F.col("sequence")).alias("sequence_id"), "offset")
 
 
-def packed(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False, window: int | None = None) -> DataFrame:
+def packed(docs: DataFrame, ranks_path: str, pattern: str, specials: Mapping[str, int] | None = None, capacity: int = CAPACITY, end_id: int = 0, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False, window: int | None = None) -> DataFrame:
     """One row per piece of docs: (id_col, piece, start, length, ids_crc32, sequence_id, offset).
 
     A null text is empty: one piece of the end id alone. Equal rows are packed as often as they come. An empty table gives
@@ -270,8 +317,8 @@ def packed(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPAC
     sequence_id follows the order in which their rows were written.
     """
     if in_order:
-        cut = written(pieces(in_file_order(docs), ranks_path, pattern, capacity, end_id, id_col, text_col), "pieces")
+        cut = written(pieces(in_file_order(docs), ranks_path, pattern, specials, capacity, end_id, id_col, text_col), "pieces")
         return pack_in_order(cut, capacity, rounds, window).withColumnRenamed("id", id_col)
-    cut = pieces(docs, ranks_path, pattern, capacity, end_id, id_col, text_col)
+    cut = pieces(docs, ranks_path, pattern, specials, capacity, end_id, id_col, text_col)
     cut = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(cut, capacity, rounds).withColumnRenamed("id", id_col)

@@ -49,11 +49,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
-def tokenizer() -> dict[str, str]:
+def tokenizer() -> dict:
     """The byte-level BPE with 50,257 ids: the file of ranks gives the same ids as byte_bpe_50k.json, and faster."""
     import public_tokenizers
 
-    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "specials": {"<|endoftext|>": 50256}}
 
 
 def op8_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
