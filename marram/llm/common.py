@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from math import isqrt
@@ -21,10 +22,12 @@ _tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors and the driver share: spark.checkpoint.dir. Where all run in one process it may be unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         made = tempfile.TemporaryDirectory(prefix="marram-")
         atexit.register(made.cleanup)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from marram.llm.common import SPACE, fresh, skew_join, written
 
-#: The filter has 16 bits a row, from 2^16 up to 2^28 bits (32 MB, which bounds the broadcast). Above 2^28 / 4 rows more
-#: unique rows pass it and are shuffled too; the results stay exact.
-BITS_A_ROW, LEAST_BITS, MOST_BITS = 16, 16, 28
+#: The filter has 16 bits a row, from 2^16 up to 2^31 bits (256 MB, which bounds the broadcast). With a billion rows, 2 bits
+#: each, 6 % of the unique rows pass it and are shuffled too, with 300 million 1 %; the results are exact at every size.
+#: Executors with more memory take a larger most_bits.
+BITS_A_ROW, LEAST_BITS, MOST_BITS = 16, 16, 31
 #: Bits of one row of the merged filter.
 BLOCK = 1 << 15
 
@@ -24,9 +25,9 @@ def normal(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chars, sha): code points of the original text and the SHA-256 of the normalised one."""
+    """(id, row, chars, sha): a number for each row, code points of the original text, SHA-256 of the normalised one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.length(text).cast("long").alias("chars"), F.sha2(normal(text), 256).alias("sha"))
+    return docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.length(text).cast("long").alias("chars"), F.sha2(normal(text), 256).alias("sha"))
 
 
 def _positions(sha: pd.Series, bits: int) -> np.ndarray:
@@ -90,39 +91,44 @@ def may_repeat(spark: SparkSession, table: np.ndarray, bits: int) -> Callable[[C
     return look
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _filter(rows: DataFrame, most_bits: int) -> Callable[[Column], Column]:
+    bits = min(most_bits, max(LEAST_BITS, (BITS_A_ROW * rows.count()).bit_length()))
+    return may_repeat(rows.sparkSession, repeat_filter(rows, bits), bits)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """One row per row of docs: (id_col, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when they are identical without white space; a null text counts as empty, and empty texts are equal to
-    each other. The row with the most code points in its original text stays, then the smallest id; an id of null comes
-    last. Of rows repeated with the same id all share the verdict of that id, so keep ids unique. An empty table gives an
-    empty result. Other columns of docs play no part.
+    each other. Of each group exactly one row stays: the one with the most code points in its original text, then the
+    smallest id, an id of null last, then any of the rows that have the same id. Ids may be of any type with an order. An
+    empty table gives an empty result. Other columns of docs play no part.
     """
-    return _groups(docs, id_col, text_col)[0]
-
-
-def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[Column], Column]]:
     rows = written(digests(docs, id_col, text_col), "digests")
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_ROW * rows.count()).bit_length()))
-    maybe = may_repeat(rows.sparkSession, repeat_filter(rows, bits), bits)
+    maybe = _filter(rows, most_bits)
     tagged = written(rows.withColumn("maybe", maybe("sha")), "tagged")
     again = tagged.where("maybe").drop("maybe")
-    groups = again.groupBy("sha").agg(F.count("*").alias("group_size"), F.max_by("id", F.struct("chars", -F.col("id"))).alias("keep_id"))
-    alone = tagged.where(~F.col("maybe")).select("id", "chars", "sha", F.lit(1).alias("group_size"), F.col("id").alias("keep_id"))
-    both = skew_join(again, written(groups, "groups"), "sha").unionByName(alone)
-    named = both.select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
-    return named, maybe
+    first = F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
+    groups = again.groupBy("sha").agg(F.count("*").alias("group_size"), first.alias("first"))
+    groups = written(groups.select("sha", "group_size", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row")), "groups")
+    alone = tagged.where(~F.col("maybe")).select("id", "row", "chars", "sha", F.lit(1).cast("long").alias("group_size"), F.col("id").alias("keep_id"), F.col("row").alias("keep_row"))
+    both = skew_join(again, groups, "sha").unionByName(alone)
+    return both.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; the columns stay as they are.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+    """docs with one row of each group of equal texts, the one that exact_groups keeps; the columns stay as they are.
 
-    Rows whose hash can't repeat pass straight through; only the others are shuffled with their texts.
+    Rows whose hash can't repeat pass straight through; only the others are shuffled with their texts, one row of a group
+    from each task. Of rows with the same text and id the one with the smallest hash of all its columns stays.
     """
-    drop, may = fresh(docs, "_drop", "_may")
-    groups, maybe = _groups(docs, id_col, text_col)
-    gone = written(groups.where(~F.col("kept")).select(F.col(id_col).alias(drop)), "gone")
-    tagged = docs.withColumn(may, maybe(F.sha2(normal(F.col(text_col)), 256)))
-    alone = tagged.where(~F.col(may)).drop(may)
-    again = tagged.where(F.col(may)).drop(may)
-    return alone.unionByName(again.join(gone, again[id_col] == F.col(drop), "left_anti"))
+    sha, may, one = fresh(docs, "_sha", "_may", "_one")
+    rows = written(digests(docs, id_col, text_col).select("sha"), "hashes")
+    maybe = _filter(rows, most_bits)
+    tagged = docs.withColumn(sha, F.sha2(normal(F.col(text_col)), 256)).withColumn(may, maybe(F.col(sha)))
+    alone = tagged.where(~F.col(may)).drop(sha, may)
+    chars = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    order = F.struct(-chars, F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*plain))
+    again = tagged.where(F.col(may)).groupBy(sha).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias(one))
+    return alone.unionByName(again.select(f"{one}.*"))

@@ -33,10 +33,32 @@ def test_groups_equal_brute_force(spark):
 
 def test_a_full_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "LEAST_BITS", 4)
-    monkeypatch.setattr(exact_dedup, "MOST_BITS", 4)
     monkeypatch.setattr(exact_dedup, "BLOCK", 16)
     docs = spark.createDataFrame([(i, f"t{i % 90}") for i in range(100)], "doc_id long, text string")
-    assert exact_dedup.exact_groups(docs).where("kept").count() == 90
+    assert exact_dedup.exact_groups(docs, most_bits=4).where("kept").count() == 90
+    assert exact_dedup.exact_dedup(docs, most_bits=4).count() == 90
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_repeated_and_null_ids_lose_no_text(spark, kind):
+    """One row of each text stays, also where ids repeat, are null, or rows are the same in all columns."""
+    rng = random.Random(8)
+    ids = [None, None, *range(6)]
+    rows = [(0, "dup dup", "a"), (1, "dupdup", "b"), (1, "other", "c"), (2, "other", "d"), (None, "lone", "e"), (None, "lo ne", "f"), (7, "same", "g"), (7, "same", "g")]
+    rows += [(rng.choice(ids), rng.choice(["x", "x ", "y", "yy", "z", None, ""]), rng.choice("hij")) for _ in range(60)]
+    rows = [(i if i is None or kind == "long" else f"id{i}", t, c) for i, t, c in rows]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, more string").repartition(4)
+    best = {}
+    for i, t, _ in rows:
+        bare = "".join((t or "").split())
+        best[bare] = min(best.get(bare, (1, True, None)), (-len(t or ""), i is None, i if i is not None else ("" if kind == "string" else 0)))
+    kept = [r for r in exact_dedup.exact_dedup(docs).collect()]
+    assert sorted("".join((r["text"] or "").split()) for r in kept) == sorted(best)
+    for r in kept:
+        want = best["".join((r["text"] or "").split())]
+        assert (-len(r["text"] or ""), r["doc_id"] is None) == want[:2] and (r["doc_id"] is None or r["doc_id"] == want[2])
+    groups = exact_dedup.exact_groups(docs).collect()
+    assert len(groups) == len(rows) and sorted(r["text_sha256"] for r in groups if r["kept"]) == sorted(hashlib.sha256(b.encode()).hexdigest() for b in best)
 
 
 def test_empty_tables(spark):
@@ -50,7 +72,7 @@ def test_wide_lines_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(linededup, "MOST_BROADCAST", most)
     rng = random.Random(6)
     rows = [(i, "\n".join(rng.choice(["", " ", *[f" line {k} " for k in range(60)], *[f"own {i} {k}" for k in range(9)]]) for _ in range(rng.randint(0, 6))), f"s{min(int(rng.expovariate(0.15)), 25)}") for i in range(300)]
-    rows += [(1000, None, "s1"), (1001, "line 1\nline 1", None), (1002, "", "s2")]
+    rows += [(1000, None, "s1"), (1001, "line 1\nline 1", None), (1002, "", "s2"), (1003, "a" + " " * 50_000 + "b", "s3")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("removed", F.lit("mine"))
     sites = {}
     for _, t, s in rows:
