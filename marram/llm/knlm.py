@@ -133,6 +133,20 @@ def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, np.frombuffer(row.second, np.uint64), n
 
 
+def _halves(facts: np.ndarray) -> tuple[bytes, bytes]:
+    """Whole numbers as 4 bytes each, and (place, upper 4 bytes) of the few that need more."""
+    flat = facts.ravel()
+    large = np.flatnonzero(flat >> 32)
+    return flat.astype("<u4").tobytes(), np.stack((large, flat[large] >> 32)).astype("<i8").tobytes()
+
+
+def _joined(facts: bytes, high: bytes) -> np.ndarray:
+    out = np.frombuffer(facts, "<u4").astype(np.int64)
+    at, upper = np.frombuffer(high, "<i8").reshape(2, -1)
+    out[at] += upper << 32
+    return out.reshape(5, -1)
+
+
 def _merge_pairs(batches: Iterator[pd.DataFrame], folder: str, shards: int) -> Iterator[pd.DataFrame]:
     """Write each shard's bigrams; hand out what they say of their words, and how many have counts of 1 to 4."""
     for k, rows in _by_shard(batches):
@@ -153,22 +167,22 @@ def _merge_pairs(batches: Iterator[pd.DataFrame], folder: str, shards: int) -> I
         word, *facts = _sums(words, *facts)
         shard = shard_of(word, shards)
         edges = np.searchsorted(shard, np.arange(shards + 1))
-        out = [(int(s), word[a:z].tobytes(), np.stack([x[a:z] for x in facts]).astype("<u4").tobytes()) for s in np.flatnonzero(np.diff(edges)) for a, z in [edges[s : s + 2]]]
-        out.append((-1, np.array([(n == i).sum() for i in (1, 2, 3, 4)], "<i8").tobytes(), b""))
-        yield pd.DataFrame(out, columns=["shard", "word", "facts"])
+        out = [(int(s), word[a:z].tobytes(), *_halves(np.stack([x[a:z] for x in facts]))) for s in np.flatnonzero(np.diff(edges)) for a, z in [edges[s : s + 2]]]
+        out.append((shards, np.array([(n == i).sum() for i in (1, 2, 3, 4)], "<i8").tobytes(), b"", b""))
+        yield pd.DataFrame(out, columns=["shard", "word", "facts", "high"])
 
 
-def _merge_words(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+def _merge_words(batches: Iterator[pd.DataFrame], folder: str, shards: int) -> Iterator[pd.DataFrame]:
     """Write each shard's words with count, words before, and words after by count 1, 2, more; hand out the sums."""
     for k, rows in _by_shard(batches):
-        if k < 0:
+        if k == shards:
             sums = sum(np.frombuffer(r.word, "<i8") for r in rows)
             yield pd.DataFrame([["pairs", *map(int, sums), 0, 0, 0]], columns=list("kabcdefg"))
             continue
         word = np.concatenate([np.frombuffer(r.word, np.uint64) for r in rows])
-        facts = np.concatenate([np.frombuffer(r.facts, "<u4").reshape(5, -1) for r in rows], axis=1).astype(np.int64)
+        facts = np.concatenate([_joined(r.facts, r.high) for r in rows], axis=1)
         word, *facts = _sums(word, *facts)
-        _save(folder, f"words-{k}", key=word, facts=np.stack(facts).astype(np.uint32))
+        _save(folder, f"words-{k}", key=word, facts=np.stack(facts))
         count, before = facts[0], facts[1]
         yield pd.DataFrame([["words", *(int((before == i).sum()) for i in (1, 2, 3, 4)), int(count.sum()), int((count > 0).sum()), int(before.sum())]], columns=list("kabcdefg"))
 
@@ -275,10 +289,11 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     rows = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shards = 1 + int(rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // SHARD_CHARS
     pairs = rows.mapInPandas(lambda it: _count(it, shards), "shard int, first binary, runs binary, second binary, small binary, large binary")
-    pairs = pairs.repartition(shards, "shard").sortWithinPartitions("shard")
-    words = pairs.mapInPandas(lambda it: _merge_pairs(it, folder, shards), "shard int, word binary, facts binary")
-    words = words.repartition(shards, "shard").sortWithinPartitions("shard")
-    sums = words.mapInPandas(lambda it: _merge_words(it, folder), "k string, a long, b long, c long, d long, e long, f long, g long")
+    # a task merges one shard
+    pairs = pairs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+    words = pairs.mapInPandas(lambda it: _merge_pairs(it, folder, shards), "shard int, word binary, facts binary, high binary")
+    words = words.repartitionById(shards + 1, F.col("shard")).sortWithinPartitions("shard")
+    sums = words.mapInPandas(lambda it: _merge_words(it, folder, shards), "k string, a long, b long, c long, d long, e long, f long, g long")
     return Model(folder, shards, [tuple(r) for r in sums.collect()])  # a row for each shard
 
 
