@@ -6,13 +6,12 @@ _CLASSES = (r"\p{Lu}", "0-9", r"\x20\x09-\x0D", r".,;:!?''\"()\-", r"#*$%&|<>@\\
 _COUNTS = ", ".join(f"length(regexp_replace(t, '[^{c}]+', '', 'g'))::DOUBLE" for c in _CLASSES)
 _TERM = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({a} + {b}) / 2)) ELSE 0 END"
 _BOTH = _TERM.format(x="a", a="a", b="b") + " + " + _TERM.format(x="b", a="a", b="b")
-#: op1: base counts, and Jensen-Shannon distances to the counts of the language, or of all for rare languages.
+#: op1: base counts, and Jensen-Shannon distances to the counts of the language, which lean on those of all documents.
 OP1 = rf"""
 WITH d AS (
   SELECT doc_id, t, lang, h || [length(t) - list_sum(h)] AS hist
   FROM (SELECT *, [{_COUNTS}] AS h FROM (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents))),
-langs AS (SELECT lang FROM d WHERE lang <> '' GROUP BY lang HAVING count(*) >= 20),
-r AS (SELECT d.*, coalesce(langs.lang, '') AS ref FROM d LEFT JOIN langs ON d.lang = langs.lang),
+r AS (SELECT d.*, lang AS ref FROM d),
 w AS (
   SELECT doc_id, lang, ref, unnest(l) AS w, generate_subscripts(l, 1) AS i
   FROM (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM r)),
@@ -24,12 +23,17 @@ counted AS (SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_c
 lines AS (
   SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-of_lang AS (SELECT lang AS ref, lower(w) AS w, count(*)::DOUBLE AS n FROM w WHERE lang IN (SELECT lang FROM langs) GROUP BY ALL
-  UNION ALL SELECT '' AS ref, lower(w) AS w, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
+of_lang AS (SELECT lang AS ref, lower(w) AS w, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
 totals AS (SELECT ref, sum(n) AS total FROM of_lang GROUP BY ref),
-common AS (SELECT ref, w, n FROM of_lang JOIN totals USING (ref) WHERE n >= 0.01 * total),
-ref_words AS (SELECT ref, w, n / total AS b FROM common JOIN totals USING (ref)
-  UNION ALL SELECT ref, '' AS w, (any_value(total) - sum(n)) / any_value(total) AS b FROM common JOIN totals USING (ref) GROUP BY ref),
+of_all AS (SELECT w, sum(n) AS n, sum(n) / (SELECT sum(n) FROM of_lang) AS share FROM of_lang GROUP BY w),
+every_word AS (SELECT t.ref, t.total, a.w, a.share, coalesce(o.n, 0) AS n
+  FROM totals t CROSS JOIN of_all a LEFT JOIN of_lang o ON o.ref = t.ref AND o.w = a.w
+  WHERE a.share >= 0.01 OR o.n >= 0.01 * t.total),
+common AS (
+  SELECT ref, w, CASE WHEN ref = '' THEN share ELSE (n + 400 * share) / (total + 400) END AS b FROM every_word
+  WHERE CASE WHEN ref = '' THEN share ELSE (n + 400 * share) / (total + 400) END >= 0.01),
+ref_words AS (SELECT ref, w, b FROM common
+  UNION ALL SELECT ref, '' AS w, 1 - sum(b) AS b FROM common GROUP BY ref),
 own_words AS (
   SELECT doc_id, coalesce(common.w, '') AS w, count(*)::DOUBLE AS n
   FROM w LEFT JOIN common ON common.ref = w.ref AND common.w = lower(w.w) GROUP BY ALL),
@@ -38,8 +42,10 @@ word_pairs AS (
   FROM r JOIN counted c USING (doc_id) JOIN ref_words q ON q.ref = r.ref LEFT JOIN own_words o ON o.doc_id = r.doc_id AND o.w = q.w),
 word_js AS (SELECT doc_id, sqrt(greatest(0, sum({_BOTH}) / 2)) AS word_distance FROM word_pairs GROUP BY doc_id),
 bins AS (SELECT doc_id, lang, ref, unnest(hist) AS n, generate_subscripts(hist, 1) AS k, length(t) AS size FROM r),
-ref_bins AS (SELECT lang AS ref, k, sum(n) AS n FROM bins WHERE lang IN (SELECT lang FROM langs) GROUP BY ALL
-  UNION ALL SELECT '' AS ref, k, sum(n) AS n FROM bins GROUP BY ALL),
+all_bins AS (SELECT k, sum(n) AS n FROM bins GROUP BY k),
+ref_bins AS (
+  SELECT lang AS ref, k, CASE WHEN lang = '' THEN any_value(a.n) ELSE sum(bins.n) + 2000 * any_value(a.n) / (SELECT sum(n) FROM all_bins) END AS n
+  FROM bins JOIN all_bins a USING (k) GROUP BY lang, k),
 char_pairs AS (
   SELECT doc_id, bins.n / size AS a, q.n / sum(q.n) OVER (PARTITION BY doc_id) AS b
   FROM bins JOIN ref_bins q USING (ref, k) WHERE size > 0),
@@ -87,8 +93,12 @@ kept AS (
 SELECT doc_id, removed, length(text) AS n_chars, sha256(text) AS text_sha256 FROM kept
 """
 
-#: op10: rules by a CASE from the longest to the shortest; reputation by four levels of group-by.
-OP10 = r"""
+#: Strength of a level's prior, by moments over its groups with n outcomes, g good ones and the prior mean m.
+FIT = """CASE WHEN coalesce(sum({n} * m * (1 - m) * ({n} - 1)), 0) <= 0 THEN 8.0
+  WHEN (sum(({g} - {n} * m) ** 2) - sum({n} * m * (1 - m))) / sum({n} * m * (1 - m) * ({n} - 1)) <= 1 / (1e6 + 1) THEN 1e6
+  ELSE greatest(1.0, sum({n} * m * (1 - m) * ({n} - 1)) / (sum(({g} - {n} * m) ** 2) - sum({n} * m * (1 - m))) - 1) END"""
+#: op10: rules by a CASE from the longest to the shortest; reputation by four levels of group-by, quadrature of posteriors.
+OP10 = rf"""
 WITH u AS (
   SELECT page_id, coalesce(strpos(url, '://') > 0, false) AS known,
          substr(url, strpos(url, '://') + 3) AS rest
@@ -118,13 +128,25 @@ hosts AS (
   FROM deep),
 domains AS (SELECT domain, suffix, sum(n) AS dn, sum(g) AS dg FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(dn) AS sn, sum(dg) AS sg FROM domains GROUP BY suffix),
-top AS (SELECT (sum(sg) + 8 * 0.5) / (sum(sn) + 8) AS mean FROM suffixes),
-s AS (SELECT suffix, (sg + 8 * mean) / (sn + 8) AS s_mean FROM suffixes, top),
-d AS (SELECT domain, (dg + 8 * s_mean) / (dn + 8) AS prior FROM domains JOIN s USING (suffix)),
-h AS (SELECT host, n, (g + 8 * prior) / (n + 8) AS mean FROM hosts JOIN d USING (domain)),
-r AS (SELECT host, least(1.0, mean + 1.2816 * sqrt(mean * (1 - mean) / (n + 9))) AS upper FROM h),
+top AS (SELECT every, 0.5 * every / (1 - every) AS odds FROM (SELECT (coalesce(sum(sg), 0) + 0.5) / (coalesce(sum(sn), 0) + 1) AS every FROM suffixes)),
+all_labels AS (SELECT coalesce(sum(sn), 0) AS n, coalesce(sum(sg), 0) AS g FROM suffixes),
+s0 AS (SELECT suffix, sn, sg, (g - sg + 0.5) / (n - sn + 1) AS m FROM suffixes, all_labels),
+s1 AS (SELECT {FIT.format(n="sn", g="sg")} AS k FROM s0),
+d0 AS (SELECT domain, dn, dg, (sg - dg + k * m) / (sn - dn + k) AS m FROM domains JOIN s0 USING (suffix), s1),
+d1 AS (SELECT {FIT.format(n="dn", g="dg")} AS k FROM d0),
+h0 AS (SELECT host, n, g, (dg - g + k * m) / (dn - n + k) AS m FROM hosts JOIN d0 USING (domain), d1),
+h1 AS (SELECT {FIT.format(n="n", g="g")} AS k FROM h0),
+h AS (SELECT host, g + k * m AS a, n - g + k * (1 - m) AS b, ln(odds) AS cut FROM h0, h1, top),
+grid AS (SELECT host, a, b, cut, ln(a / b) AS mid, ln(a / b) - 12 * sqrt(1 / a + 1 / b) - 8 / a AS low,
+         (24 * sqrt(1 / a + 1 / b) + 8 / a + 8 / b) / 600 AS w FROM h),
+cells AS (SELECT host, a, b, mid, w, cut, low + w * k AS lo, low + w * k + w / 2 AS z FROM grid, range(600) t(k)),
+dens AS (
+  SELECT host, least(1.0, greatest(0.0, (cut - lo) / w)) AS part,
+         exp(a * (z - mid) - (a + b) * (greatest(z, 0) + ln(1 + exp(-abs(z))) - greatest(mid, 0) - ln(1 + exp(-abs(mid))))) AS f
+  FROM cells),
+r AS (SELECT host, sum(f * part) / sum(f) AS bad FROM dens GROUP BY host),
 j AS (
-  SELECT page_id, host, path, upper,
+  SELECT page_id, host, path, bad,
          CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
               WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
               WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
@@ -133,7 +155,7 @@ j AS (
   FROM p JOIN r USING (host))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN upper < 0.7 THEN 'block' ELSE 'allow' END AS verdict
+            WHEN bad >= 0.9 THEN 'block' ELSE 'allow' END AS verdict
 FROM j
 """
 
