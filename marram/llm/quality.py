@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import SPACE, fresh, written
+from marram.llm.common import SPACE, fresh, skew_join, written
 
 WORD = f"[^{SPACE}]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -14,8 +14,12 @@ SYMBOLS = "[#*$%&|<>]"
 CLASSES = {"upper": r"\p{Lu}", "digit": "0-9", "space": SPACE, "stop": r".,;:!?'\"()\-", "symbol": r"#*$%&|<>@\\^_`{}~+=/\[\]"}
 #: Words with at least this share of a language's words are its common words, so there are 1/COMMON_SHARE at most.
 COMMON_SHARE = 0.01
-#: Languages with fewer documents than this, and those beyond MOST_LANGS, are held against all documents together.
-LEAST_DOCS, MOST_LANGS = 20, 200
+#: A language's histograms have so many characters and words of all documents' mixed in, so rare ones lean on these.
+PRIOR_CHARS, PRIOR_WORDS = 2_000, 400
+#: References of so many languages at most are broadcast, of 1/COMMON_SHARE words each; beyond that rows are joined to them.
+MOST_BROADCAST = 1000
+#: Repeated windows of a text that are looked up in a list; more are found by sorting.
+MOST_LISTED = 16
 #: Under these lengths a histogram says little and isn't judged.
 LEAST_CHARS, LEAST_WORDS = 200, 50
 #: Largest Jensen-Shannon distance (base 2, from 0 to 1) to the reference that is kept.
@@ -29,7 +33,11 @@ def let(value: Column, use) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    """Words of a text: white space becomes blanks, and a split at one literal blank is cheaper than one at a class."""
+    plain = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def count_of(text: Column, chars: str) -> Column:
@@ -37,6 +45,18 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
+def class_counts(text: Column) -> Column:
+    """Struct of n_chars, the classes and SYMBOLS of a whole text. Classes other than white space have no letter a to z and
+    no blank, so they are counted in what is left without these."""
+    blanks = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    few = F.regexp_replace(text, "[a-z ]+", "")
+    return let(few, lambda x: F.struct(
+        F.length(text).cast("long").alias("n_chars"),
+        count_of(x, SYMBOLS[1:-1]).alias("n_symbols"),
+        *[(count_of(x, body) + (blanks if name == "space" else 0)).cast("long").alias(name) for name, body in CLASSES.items()],
+    ))
+
+
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that come twice or more, the first one included.
 
@@ -55,11 +75,13 @@ def repeated_words(words: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return let(pairs, lambda p: F.sort_array(F.transform(F.filter(F.transform(p, lambda x, k: F.struct((x["h"].eqNullSafe(F.get(p, k - 1)["h"]) | x["h"].eqNullSafe(F.get(p, k + 1)["h"])).alias("again"), x["i"].alias("i"))), lambda x: x["again"]), lambda x: x["i"])))
 
-    def from_hashes(h: Column) -> Column:
-        none = F.lit(0).cast("long")
+    def repeats(h: Column) -> Column:
         again = let(F.sort_array(h), lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x == y, x)))
         some = F.array_compact(F.array_distinct(again))
-        return let(some, lambda t: F.when(F.size(t) == 0, none).when(F.size(t) <= 64, let(by_list(h, t), spread)).otherwise(let(by_sort(h), spread)))
+        return let(some, lambda t: F.when(F.size(t) <= MOST_LISTED, let(by_list(h, t), spread)).otherwise(let(by_sort(h), spread)))
+
+    def from_hashes(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(repeats(h))
 
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(hashes, from_hashes))
@@ -70,16 +92,15 @@ def base_counts(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     out = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    classes = [count_of(t, body).alias(name) for name, body in CLASSES.items()]
-    return let(out, lambda o: F.struct(
+    return let(out, lambda o: let(class_counts(t), lambda c: F.struct(
         o["n_words"].alias("n_words"),
-        (F.length(t) - count_of(t, SPACE)).cast("long").alias("word_chars"),
-        count_of(t, SYMBOLS[1:-1]).alias("n_symbols"),
+        (c["n_chars"] - c["space"]).alias("word_chars"),
+        c["n_symbols"].alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         o["n_repeat_words"].alias("n_repeat_words"),
-        F.length(t).cast("long").alias("n_chars"),
-        *classes,
-    ))
+        c["n_chars"].alias("n_chars"),
+        *[c[name].alias(name) for name in CLASSES],
+    )))
 
 
 def distance(left: Column, right: Column) -> Column:
@@ -124,34 +145,40 @@ def lower_words(text: Column) -> Column:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(ref_lang, ref_chars, ref_words, ref_counts): one row a language, and one of null for all documents together.
+    """(ref_lang, ref): one row a language, and one of null for all documents together; ref has chars, words, counts.
 
-    Counts are over all documents: character classes, and words in lower case; common words are those with at least
-    COMMON_SHARE of the words, by descending count, and last come all other words.
+    Counts are over all documents: character classes, and words in lower case. A language's are shrunk: PRIOR_CHARS and
+    PRIOR_WORDS of all documents' shares are added. Common words are those with at least COMMON_SHARE of the words then, by
+    descending count; last come all other words.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    parts = [count_of(t, body).alias(name) for name, body in CLASSES.items()]
-    sums = docs.select(lang.alias("lang"), F.length(t).cast("long").alias("n_chars"), *parts).groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in ["n_chars", *CLASSES]])
+    sums = docs.select(lang.alias("lang"), class_counts(t).alias("c")).select("lang", "c.*").groupBy("lang").agg(*[F.sum(c).alias(c) for c in ["n_chars", *CLASSES]])
     words = docs.select(lang.alias("lang"), F.explode(lower_words(t)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = written(words, "words")
     sums = written(sums, "classes")
-    enough = sums.where((F.col("docs") >= LEAST_DOCS) & (F.col("lang") != "")).orderBy(F.desc("n_chars"), "lang").limit(MOST_LANGS)
-
-    def refs(words: DataFrame, sums: DataFrame) -> DataFrame:
-        total = words.groupBy("lang").agg(F.sum("n").alias("total"))
-        common = words.join(F.broadcast(total), "lang").where(F.col("n") >= COMMON_SHARE * F.col("total"))
-        common = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("c"), F.first("total").alias("total"))
-        counts = F.transform("c", lambda x: -x["n"].cast("double"))
-        rest = F.col("total") - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        listed = common.select("lang", F.transform("c", lambda x: x["word"]).alias("ref_words"), F.concat(counts, F.array(rest)).alias("ref_counts"))
-        chars = sums.select("lang", class_hist(F.struct(*[F.col(c) for c in ["n_chars", *CLASSES]])).alias("ref_chars"))
-        return chars.join(F.broadcast(listed), "lang", "left").select(F.col("lang").alias("ref_lang"), "ref_chars", F.coalesce("ref_words", F.array().cast("array<string>")).alias("ref_words"), F.coalesce("ref_counts", F.array(F.lit(0.0))).alias("ref_counts"))
-
-    kept = F.broadcast(enough.select("lang"))
-    every = refs(words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("")), sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n_chars", *CLASSES]]).withColumn("lang", F.lit("")))
-    own = refs(words.join(kept, "lang"), sums.join(kept, "lang"))
-    return own.unionByName(every.withColumn("ref_lang", F.lit(None).cast("string")))
+    every = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n_chars", *CLASSES]]).first()
+    shares = [(x or 0) / (every["n_chars"] or 1) for x in (*[every[c] for c in CLASSES], every["n_chars"] - sum(every[c] for c in CLASSES))]
+
+    # a word that is common in the mixture is common in the language or in all documents
+    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    n_words = totals.agg(F.sum("total").alias("n")).first()["n"] or 0
+    common = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_SHARE * n_words)
+    common = written(common.select(F.lit(None).cast("string").alias("lang"), "word", F.col("n").cast("double").alias("n"), F.lit(float(n_words)).alias("total")), "common")
+    held = skew_join(words, written(totals, "totals"), "lang").where((F.col("lang") != "") & (F.col("n") >= COMMON_SHARE * F.col("total"))).select("lang", "word")
+    held = held.unionByName(totals.where("lang <> ''").select("lang").crossJoin(F.broadcast(common.select("word")))).distinct()  # 1/COMMON_SHARE words
+    share = words.join(held.select("word").distinct(), "word").groupBy("word").agg((F.sum("n") / F.lit(float(n_words or 1))).alias("share"))
+    own = held.join(words, ["lang", "word"], "left").join(share, "word").join(totals, "lang")
+    own = own.select("lang", "word", (F.coalesce("n", F.lit(0)) + PRIOR_WORDS * F.col("share")).alias("n"), (F.col("total") + PRIOR_WORDS).cast("double").alias("total")).where(F.col("n") >= COMMON_SHARE * F.col("total"))
+    listed = own.unionByName(common).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("c"), F.first("total").alias("total"))
+    counts = F.transform("c", lambda x: -x["n"])
+    rest = F.col("total") - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    listed = listed.select(F.col("lang").alias("at"), F.transform("c", lambda x: x["word"]).alias("words"), F.concat(counts, F.array(rest)).alias("counts"))
+    mixed = F.transform(class_hist(F.struct(*[F.col(c) for c in ["n_chars", *CLASSES]])), lambda x, i: x + PRIOR_CHARS * F.get(F.array(*map(F.lit, shares)), i))
+    chars = sums.where("lang <> ''").select("lang", mixed.alias("chars"))
+    chars = chars.unionByName(docs.sparkSession.createDataFrame([(None, [float(x) for x in shares])], "lang string, chars array<double>"))
+    out = chars.join(listed, chars["lang"].eqNullSafe(F.col("at")), "left")
+    return out.select(F.col("lang").alias("ref_lang"), F.struct("chars", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce("counts", F.array(F.lit(0.0))).alias("counts")).alias("ref"))
 
 
 def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE) -> DataFrame:
@@ -160,17 +187,18 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     A document fails the base rules with fewer than 50 words or with over half its words in repeated windows. Otherwise it
     stays unless the Jensen-Shannon distance of its character classes (from LEAST_CHARS characters on) or of its common
     words (from LEAST_WORDS words on) to its language's reference is over the limit; a distance that can't be told doesn't
-    count against it. A null text is empty; a null or rare language is held against all documents together. The rows
-    aren't shuffled: the references, at most MOST_LANGS + 1 rows of 1/COMMON_SHARE words, are broadcast.
+    count against it. A null text is empty; a document without a language, or with the language "", is held against all
+    documents together. Repeated rows each count and get their verdict. The rows aren't shuffled where there are at most
+    MOST_BROADCAST languages; beyond that those of rare languages are, with the same result.
     """
     ref, lang, out = fresh(docs, "_ref", "_lang", "quality")
     refs = written(references(docs, text_col, lang_col).coalesce(1), "references")
-    own = refs.where("ref_lang is not null").select(F.col("ref_lang").alias(lang), F.struct("ref_chars", "ref_words", "ref_counts").alias(ref))
-    every = refs.where("ref_lang is null").first()
+    own = refs.where("ref_lang is not null").select(F.col("ref_lang").alias(lang), F.col("ref").alias(ref))
+    every = refs.where("ref_lang is null").first()["ref"]
     spare = F.struct(
-        F.array(*map(F.lit, every["ref_chars"])).alias("ref_chars"),
-        F.array(*map(F.lit, every["ref_words"])).cast("array<string>").alias("ref_words"),
-        F.array(*map(F.lit, every["ref_counts"])).alias("ref_counts"),
+        F.array(*map(F.lit, every["chars"])).alias("chars"),
+        F.array(*map(F.lit, every["words"])).cast("array<string>").alias("words"),
+        F.array(*map(F.lit, every["counts"])).alias("counts"),
     )
 
     def verdict(c: Column, d: Column) -> Column:
@@ -183,11 +211,12 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         ))
 
     def distances(c: Column, r: Column) -> Column:
-        return F.struct(distance(class_hist(c), r["ref_chars"]).alias("chars"), distance(common_hist(lower_words(F.col(text_col)), r["ref_words"]), r["ref_counts"]).alias("words"))
+        return F.struct(distance(class_hist(c), r["chars"]).alias("chars"), distance(common_hist(lower_words(F.col(text_col)), r["words"]), r["counts"]).alias("words"))
 
     # one expression that reads the text once for each count, so that a filter on it can't repeat them
     whole = let(base_counts(F.col(text_col)), lambda c: let(let(F.coalesce(F.col(ref), spare), lambda r: distances(c, r)), lambda d: verdict(c, d)))
-    rows = docs.join(F.broadcast(own), docs[lang_col].cast("string") == F.col(lang), "left")
+    rows = docs.withColumn(lang, F.col(lang_col).cast("string"))
+    rows = rows.join(F.broadcast(own), lang, "left") if own.count() <= MOST_BROADCAST else skew_join(rows, own, lang)
     return rows.withColumn(out, whole).drop(ref, lang)
 
 

@@ -54,11 +54,14 @@ def test_distances_equal_brute_force(spark):
     rows += [(200, make(de, 120), "en"), (201, make(en, 120).upper().replace(" ", "!! "), "en"), (202, make(en, 120), None), (203, make(en, 60), "rare"), (204, None, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in quality.quality_verdicts(docs).select("doc_id", "quality.*").collect()}
-    own = [t.lower().split() for _, t, lang in rows if lang == "en" and t]
-    n = Counter(w for t in own for w in t)
-    common = sorted((w for w in n if n[w] >= quality.COMMON_SHARE * sum(n.values())), key=lambda w: (-n[w], w))
-    hist = lambda c: [c[w] for w in common] + [sum(c.values()) - sum(c[w] for w in common)]
-    for i in (0, 200, 201):
+    every = Counter(w for _, t, _ in rows for w in (t or "").lower().split())
+    for i, lang in ((0, "en"), (200, "en"), (201, "en"), (100, "de"), (203, "rare"), (202, None)):
+        n = {w: every[w] / sum(every.values()) for w in every}
+        if lang:
+            own = Counter(w for _, t, x in rows if x == lang for w in (t or "").lower().split())
+            n = {w: own[w] + quality.PRIOR_WORDS * n[w] for w in every}
+        common = [w for w in n if n[w] >= quality.COMMON_SHARE * sum(n.values())]
+        hist = lambda c: [c[w] for w in common] + [sum(c.values()) - sum(c[w] for w in common)]  # noqa: E731, B023
         text = next(t for d, t, _ in rows if d == i)
         assert abs(got[i]["word_distance"] - js(hist(Counter(text.lower().split())), hist(n))) < 1e-9
     assert all(got[i]["kept"] for i in [*range(40), *range(100, 140)])
@@ -69,5 +72,15 @@ def test_distances_equal_brute_force(spark):
     assert kept == {i for i, r in got.items() if r["kept"]}
 
 
+def test_many_languages_are_joined_with_the_same_result(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "of", *[f"w{k}" for k in range(90)]]) for _ in range(90)), rng.choice(["en", "de", "x1", "x2", "", None])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    read = lambda: sorted(map(tuple, quality.quality_verdicts(docs).select("doc_id", "quality.kept", "quality.word_distance", "quality.char_distance").collect()))
+    want = read()
+    monkeypatch.setattr(quality, "MOST_BROADCAST", 1)
+    assert read() == want and len(want) == 150
+
+
 def test_empty_table(spark):
     assert quality.quality_verdicts(spark.createDataFrame([], "text string, lang string")).count() == 0
