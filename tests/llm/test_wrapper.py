@@ -34,17 +34,85 @@ def test_articles_come_out_whole(spark):
     assert wrapper.main_text(clash).count() == len(rows)
 
 
-def test_template_lines_go():
-    trees = [wrapper.tree_of(page(k, extra="<div class='x'>Read the rules of this site</div>")[0]) for k in range(5)]
-    whole = trees[0]
-    for t in trees[1:]:
-        whole = wrapper.joined(whole, t)
-    assert wrapper.article_places(whole)[1] == ["Read the rules of this site"]
+def whole(pages):
+    made = [wrapper.wrapper_of(wrapper.page_tree(h)) for h in pages]
+    for other in made[1:]:
+        wrapper.join(made[0], other)
+    return wrapper.marked(made[0])
+
+
+def test_template_texts_go():
+    """A notice that is the same on all pages of a host is template; a page alone can't tell."""
+    pages = [page(k, extra="<div>Read the rules of this site</div>") for k in range(5)]
+    found = whole([h for h, _ in pages])
+    for html, want in pages:
+        assert wrapper.main_text_of(html, found) == want
+        assert wrapper.main_text_of(html, None) == want + "\nRead the rules of this site"
+
+
+def unnamed(k):
+    """No element has a name that tells: a long constant text, then the article, then a list of links."""
+    rng = random.Random(k)
+    words = lambda n: " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))
+    lines = [words(6), *[words(rng.randint(8, 14)) for _ in range(3)]]
+    fixed = "".join(f"<p>This long text about the site and its owners is the same everywhere, part {i}.</p>" for i in range(9))
+    return f"<body><div><h2>About us</h2>{fixed}</div><div><h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:]) + f"</div><div><ul><li><a>{words(30)}</a></ul></div></body>", "\n".join(lines)
+
+
+def test_alignment_finds_the_article(spark):
+    made = [unnamed(k) for k in range(12)]
+    docs = spark.createDataFrame([(k, f"http://a.example.org/{k}", h) for k, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(docs).collect()}
+    for k, (html, want) in enumerate(made):
+        assert got[k] == want
+        assert wrapper.main_text_of(html, None) != want  # without the other pages the fixed text wins
+
+
+def test_elements_are_told_apart_by_place():
+    """The same bare elements before and after the article are other places than the article's; a page may lack some."""
+    make = lambda a, b, c: a + f"<div><h1>{b}</h1><p>{b} {b} {b} {b} {b} {b}</p><p>{c}</p></div><div><p>{a} fixed</p></div>"
+    pages = [make("<div>top</div>" * (k % 2), f"head {k} {k}", f"body text of page {k} " * 4) for k in range(8)]
+    found = whole(pages)
+    for k, html in enumerate(pages):
+        h, body = f"head {k} {k}", f"body text of page {k} " * 4
+        assert wrapper.main_text_of(html, found) == f"{h}\n{' '.join([h] * 6)}\n{body.strip()}"
+
+
+def test_near_copies_lose_nothing(spark):
+    shared = [f"paragraph {i} has some words that all editions share" for i in range(5)]
+    make = lambda k: f"<html><body><nav>menu</nav><article><h1>A heading</h1><p>edition {k}</p><div>{''.join(f'<p>{x}</p>' for x in shared)}</div></article></body></html>"
+    docs = spark.createDataFrame([(k, "http://a.org/", make(k // 2)) for k in range(8)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(docs).collect()}
+    assert got == {k: "\n".join(["A heading", f"edition {k // 2}", *shared]) for k in range(8)}
+
+
+def test_any_depth_and_length(spark):
+    deep = "<div>" * 100_000 + "x" + "</p>" * 1000
+    table = "<article>" + "<h2>head</h2><p>words of it</p><ul><li>one<li>two</ul><blockquote>said</blockquote><p>more</p>" * 5000 + "</article>"
+    odd = "<div><p>a</div><div><ul><li>b</ul></div>" * 3000
+    docs = spark.createDataFrame([(1, "http://a.org/", deep), (2, "http://b.org/", table), (3, "http://b.org/", table), (4, "http://c.org/", odd), (5, "http://c.org/", "<!-- " + "<" * 100_000), (6, "http://c.org/", "&lt;" * 50_000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(docs).collect()}
+    assert got[1] == "x" and got[2] == got[3] == "\n".join(["head", "words of it", "one", "two", "said", "more"] * 5000)
+    assert len(got[6]) == 50_000
+
+
+def test_partitions_play_no_part(spark):
+    rows = [(k, "http://h.example.org/", (page(k)[0] if k % 3 else unnamed(k)[0]).replace("<h1>", "<h1 class=a>" if k % 5 else "<h1>")) for k in range(60)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = sorted(map(tuple, wrapper.wrappers(docs.repartition(1)).collect()))
+    assert first == sorted(map(tuple, wrapper.wrappers(docs.orderBy(docs.page_id.desc()).repartition(7)).collect()))
+
+
+def test_joined_wrappers_give_the_same_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"http://h{k % 4}.example.org/", page(k)[0]) for k in range(20)] + [(90, None, None)], "page_id long, url string, html string")
+    want = sorted(map(tuple, wrapper.main_text(docs).collect()), key=str)
+    monkeypatch.setattr(wrapper, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, wrapper.main_text(docs).collect()), key=str) == want
 
 
 def test_expression_has_options_and_repeats():
-    a, b = wrapper.tree_of("<ul><li>a<li>b</ul><p>x"), wrapper.tree_of("<ul><li>c</ul><h2>t</h2><p>x")
-    assert wrapper.expression(wrapper.joined(a, b)) == "<ul>(<li>#TEXT</>)+</>(<h2>'t'</>)?<p>'x'</>"
+    a, b = (wrapper.wrapper_of(wrapper.page_tree(h)) for h in ("<ul><li>a<li>b</ul><p>x", "<ul><li>c</ul><h2>t</h2><p>x"))
+    assert wrapper.expression(wrapper.join(a, b)) == "<ul>(<li>#TEXT</>)+</>(<h2>#CONSTANT</>)?<p>#CONSTANT</>"
 
 
 def test_empty_table(spark):
