@@ -30,8 +30,10 @@ from marram.llm.components import components
 CELL_COST = 4.0
 #: Pairs with the same smaller set that one task gets at most.
 CHUNK = 500
-#: Sets of a block of a cluster that one task indexes, about.
-BLOCK = 1000
+#: Shingles of a block of a cluster that one task indexes, about.
+BLOCK = 500_000
+#: Keys that a task holds at once.
+KEYS = 400_000
 #: Ids that are broadcast at most, 8 bytes each; beyond that texts are shuffled to them.
 MOST_BROADCAST = 1_000_000
 
@@ -152,51 +154,69 @@ def linked(inter: int, a: int, b: int, t: Fraction) -> bool:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, sig) of each row."""
+    """(id, tkey, n, sig) of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [shingle_set(t, n) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "n": np.array([len(h) for h in found], np.int64), "sig": np.array([set_id(h) for h in found], np.int64)})
+            yield pd.DataFrame({"id": b["id"], "tkey": b["tkey"], "n": np.array([len(h) for h in found], np.int64), "sig": np.array([set_id(h) for h in found], np.int64)})
 
-    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, sig long")
+    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, tkey long, n long, sig long")
 
 
 def _entries(docs: DataFrame, n: int, sizes: Sizes, light_to: int) -> DataFrame:
-    """(key, sig, n, light): keys of each set; a task gives those of a set once, however many copies it reads."""
+    """(key, sig, n, light, psig, pn): keys of each set; a task gives those of a set once, however many copies it reads.
+
+    Where several of the sets that a task holds share a key of a cell, the first of them goes on to the list of the key, for
+    the others it is their first already. So a key that many sets have doesn't bring all of them to one task.
+    """
+
+    def listed(key: np.ndarray, sig: np.ndarray, many: np.ndarray, light: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((sig, many, light, key))
+        key, sig, many, light = key[order], sig[order], many[order], light[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (light[1:] != light[:-1]) | light[1:])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        own = pd.DataFrame({"key": key, "sig": sig, "n": many, "light": light, "psig": sig[first], "pn": many[first]})
+        return own[new | (sig != sig[first])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, memo = set(), {}
+        held: list[tuple] = []
+        total = 0
         for b in batches:
-            keys, flags, sigs, counts, many = [], [], [], [], []
             for t in b["text"]:
                 h = shingle_set(t, n)
                 if not len(h) or (sig := set_id(h)) in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sig)
                 k, f = keys_of(h, sizes, light_to, memo)
-                keys.append(k)
-                flags.append(f)
-                sigs.append(sig)
-                counts.append(len(h))
-                many.append(len(k))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "sig": np.repeat(np.array(sigs, np.int64), many), "n": np.repeat(np.array(counts, np.int64), many).astype(np.int32), "light": np.concatenate(flags)})
+                held.append((k, np.full(len(k), sig, np.int64), np.full(len(k), len(h), np.int32), f))
+                total += len(k)
+                if total > KEYS:
+                    yield listed(*map(np.concatenate, zip(*held, strict=True)))
+                    held, total = [], 0
+        if held:
+            yield listed(*map(np.concatenate, zip(*held, strict=True)))
 
-    return docs.select("text").mapInPandas(run, "key long, sig long, n int, light boolean")
+    return docs.select("text").mapInPandas(run, "key long, sig long, n int, light boolean, psig long, pn int")
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """The entries of lists with at least two sets, each with the list's first: smallest n, then sig, as psig, pn.
+    """The entries of lists with at least two sets, each with its first: smallest n, then sig, as psig, pn.
 
-    A task holds the first of a list and the last entry only, so lists may be of any length.
+    Entries that have a first go where their set does; the others, of which sig is psig, meet by key, and the first of these
+    is that of the list. A task holds the first of a list and the last entry only, so lists may be of any length.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = psig = pn = last = None
         for b in batches:
+            done = (b["sig"] != b["psig"]).to_numpy()
+            if done.any():
+                yield b[done]
+            b = b[~done]
             if not len(b):
                 continue
             k, s, n, f = (b[c].to_numpy() for c in ("key", "sig", "n", "light"))
@@ -211,8 +231,8 @@ def _lists(entries: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": k, "sig": s, "n": n, "light": f, "psig": ps, "pn": pc})[keep]
             key, psig, pn, last = k[-1], ps[-1], pc[-1], s[-1]
 
-    dealt = entries.repartition("key").sortWithinPartitions("key", "n", "sig")
-    return dealt.mapInPandas(run, "key long, sig long, n int, light boolean, psig long, pn int")
+    dealt = entries.repartition(F.when(F.col("sig") == F.col("psig"), F.col("key")).otherwise(F.col("sig")))
+    return dealt.sortWithinPartitions("key", "n", "sig").mapInPandas(run, "key long, sig long, n int, light boolean, psig long, pn int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -272,11 +292,14 @@ def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -
             if out:
                 yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
-    members = skew_join(heavy.select("key", "psig", "sig"), found.select(F.col("node").alias("sig"), "component"), "sig").withColumn("component", F.coalesce("component", "sig"))
+    both = heavy.select("key", "sig", "n", "psig", "pn").unionByName(heavy.select("key", F.col("psig").alias("sig"), F.col("pn").alias("n"), "psig", "pn"))
+    members = skew_join(written(both, "both"), found.select(F.col("node").alias("sig"), "component"), "sig").withColumn("component", F.coalesce("component", "sig"))
     members = written(members, "members")
-    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = written(members.join(keys, "key").select("psig", "sig", "component").distinct(), "open")
-    counts = members.groupBy("psig", "component").agg(F.count("*").alias("m"))
+    # the first of the whole list is the least of the firsts that its tasks gave
+    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("pn", "psig")).alias("first")).where("lo <> hi")
+    members = skew_join(members.drop("psig", "pn"), written(keys.select("key", F.col("first.psig").alias("psig")), "open-keys"), "key", "inner")
+    members = written(members.select("psig", "sig", "n", "component").distinct(), "open")
+    counts = members.groupBy("psig", "component").agg(F.sum("n").alias("m"))
     counts = counts.groupBy("psig").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("component", F.struct("m", "component")).alias("main"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     counts = counts.select("psig", "main", blocks(F.col("all")).alias("rights"), blocks(F.col("all") - F.col("most")).alias("lefts"))
@@ -291,29 +314,27 @@ def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -
 
 
 def _bodies(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
-    """(sig, body) for names (id, sig): the sets of these rows, computed again from their texts."""
+    """(sig, body) for names (id, tkey, sig): the sets of these rows, computed again from their texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"sig": b["sig"], "body": [shingle_set(t, n).tobytes() for t in b["text"]]})
 
+    names = names.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), "sig")
+    same = (F.col("tkey") == F.col("_tkey")) & F.col("id").eqNullSafe(F.col("_id"))
     few = names.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(names) if few else names, "id").select("sig", "text").mapInPandas(run, "sig long, body binary")
+    out = docs.join(F.broadcast(names) if few else names, same).select("sig", "text").mapInPandas(run, "sig long, body binary")
+    return out.dropDuplicates(["sig"])  # rows may be repeated
 
 
-def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (id_col, n_shingles, component_id).
-
-    Documents link when intersection / union of their shingle sets is at least threshold; component_id is the smallest id
-    reachable by links. A document without words has an empty set and links with nothing; a null text is one. A null id
-    stays null and its component is the smallest other id, or null. Equal texts link; ids should be unique. Other columns
-    play no part.
-    """
+def _components(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """(id, tkey, n, component_id, kept) of each row of docs (id, text, tkey); kept at the rows with the smallest id, null
+    last, then tkey, of a component."""
     sizes = Sizes(threshold)
     light_to = sizes.boundary()
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = written(_sets(docs, n), "sets")
-    classes = written(rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id")), "classes")
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "tkey")
+    classes = written(rows.where("n > 0").groupBy("sig").agg(F.min(name).alias("name")), "classes")
     lists = written(_lists(_entries(docs, n, sizes, light_to)), "lists")
     t = F.lit(threshold.numerator), F.lit(threshold.denominator)
     near = lambda a, b: F.col(a) * t[1] >= F.col(b) * t[0]  # noqa: E731  sizes that can link
@@ -324,7 +345,7 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     heavy = lists.where(~F.col("light"))
     pairs = written(heavy.where(near("pn", "n")).select(F.col("psig").alias("a"), F.col("sig").alias("b")).distinct(), "pairs")
     ends = heavy.select("sig").union(heavy.select(F.col("psig").alias("sig"))).distinct()
-    bodies = written(_bodies(docs, written(classes.join(ends, "sig").select("id", "sig"), "ends"), n), "bodies")
+    bodies = written(_bodies(docs, written(classes.join(ends, "sig").select("name.id", "name.tkey", "sig"), "ends"), n), "bodies")
     links = written(_verified(pairs, bodies, threshold).union(sure).distinct(), "links")
     found = written(components(links), "components")
     joins = written(_joins(heavy, found, bodies, threshold), "joins")
@@ -334,17 +355,45 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
         every = every.groupBy("node").agg(F.min("component").alias("component"))
         found = skew_join(written(every, "every"), written(joined, "joined"), "component").select("node", F.coalesce("wider", "component").alias("component"))
         found = written(found, "components")
-    # the smallest id of a component's classes
+    # the least name of a component's classes
     named = classes.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = written(named, "named")
-    least = written(named.groupBy("component").agg(F.min("id").alias("component_id")), "least")
-    whole = written(skew_join(named, least, "component").select("sig", "component_id"), "whole")
-    full = skew_join(rows.where("n > 0"), whole, "sig").select("id", "n", "component_id")
-    return full.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    least = written(named.groupBy("component").agg(F.min("name").alias("least")), "least")
+    whole = written(skew_join(named, least, "component").select("sig", "least"), "whole")
+    full = skew_join(rows.where("n > 0"), whole, "sig")
+    kept = (F.col("tkey") == F.col("least.tkey")) & F.col("id").eqNullSafe(F.col("least.id"))
+    full = full.select("id", "tkey", "n", F.col("least.id").alias("component_id"), kept.alias("kept"))
+    return full.unionByName(rows.where("n = 0").select("id", "tkey", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
+
+
+def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: (id_col, n_shingles, component_id).
+
+    Documents link when intersection / union of their shingle sets is at least threshold; component_id is the smallest id
+    reachable by links. A document without words has an empty set and links with nothing; a null text is one. A null id
+    stays null and its component is the smallest other id, or null. Equal texts link. Ids may repeat: rows are told apart by
+    their texts too, and each has its own component. An empty table gives an empty result. Other columns play no part.
+    """
+    out = _components(_keyed(docs, id_col, text_col), n, threshold)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of similar ones, the one with the smallest id; the columns stay as they are."""
-    (gone,) = fresh(docs, "_gone")
-    drop = similar_groups(docs, n, threshold, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone))
-    return docs.join(written(drop, "near"), docs[id_col] == F.col(gone), "left_anti")
+    """docs with one document of each group of similar ones, the one with the smallest id; the columns stay as they are.
+
+    An id of null comes last; of rows with the same id the one with the smaller hash of the text stays, of rows with the
+    same id and text one. Documents without words stay, as they are like nothing.
+    """
+    gone, tkey, own = fresh(docs, "_gone", "_tkey", "_own")
+    found = written(_components(_keyed(docs, id_col, text_col), n, threshold).select(F.col("id").alias(gone), F.col("tkey").alias(tkey), "n", "kept"), "kept")
+    rows = docs.withColumn(own, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(tkey))
+    out = rows.join(found.where(~F.col("kept")).select(gone, tkey).distinct(), same, "left_anti")
+    again = written(found.where("kept and n > 0").groupBy(gone, tkey).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    if not again.isEmpty():  # rows with the same id and text
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col, own]))
+    return out.drop(own)

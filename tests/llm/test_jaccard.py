@@ -3,6 +3,7 @@ from fractions import Fraction
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marram.llm import jaccard
 
@@ -57,7 +58,47 @@ def test_groups_equal_brute_force(spark):
         assert got == brute(texts, n, t)
 
 
+def test_many_sets_of_one_key(spark, monkeypatch):
+    """Tasks that hold few keys hand out many firsts of a list, and clusters are cut into small blocks: no link is lost."""
+    monkeypatch.setattr(jaccard, "KEYS", 40)
+    monkeypatch.setattr(jaccard, "BLOCK", 300)
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(60)]
+    texts = corpus(5, 120)
+    for _ in range(150):  # one cell after the other changes; neighbours link, the ends don't
+        base[rng.randrange(60)] = f"c{rng.randint(0, 30)}"
+        texts.append(" ".join(base))
+    rng.shuffle(texts)
+    for n, t in ((3, Fraction(9, 10)), (2, Fraction(8, 10)), (5, Fraction(8, 10))):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+        assert sorted(map(tuple, jaccard.similar_groups(docs, n, t).collect())) == brute(texts, n, t)
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows are told apart by their texts; keep_one leaves one row of each group, and every text has a like one that stays."""
+    rng = random.Random(13)
+    texts = corpus(7, 80)
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6]), t, i % 3) for i, t in enumerate(texts)] + [(1, texts[8], 0)] * 3 + [(None, texts[9], 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, TKEY int").withColumn("_own", F.lit(1)).repartition(3)
+    t = Fraction(8, 10)
+    groups = {}
+    for i, _, r in brute([x for _, x, _ in rows], 5, t):
+        groups.setdefault(r, []).append(i)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    out = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(out) == len(groups)
+    for members in groups.values():
+        own = [(rows[i][0], rows[i][1]) for i in members]
+        stays = [x for x in out if x in own]
+        least = min((i is None, i or 0) for i, _ in own)
+        assert (stays[0][0] is None, stays[0][0] or 0) == least if len(members) > 1 else stays
+    got = jaccard.similar_groups(docs, 5, t).collect()
+    assert len(got) == len(rows)
+
+
 def test_empty_table(spark):
+    assert jaccard.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert jaccard.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
