@@ -316,12 +316,11 @@ def evaluation_rows(spark, d):
 
 
 def relevant_lines(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", sections.relevant_lines(F.col("text"), QUERY, ["Overview"]).alias("l"))
-    return rows.select("doc_id", F.posexplode("l").alias("line_ix", "line"))
+    return sections.relevant_lines(table(spark, d, "documents").select("doc_id", "text"), QUERY, ["Overview"])
 
 
 def section_map(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", sections.sections(F.col("text"), ["the", "Installation"]).alias("m"))
+    rows = sections.with_sections(table(spark, d, "documents").select("doc_id", "text"), ["the", "Installation"], into="m")
     return rows.select("doc_id", F.explode("m").alias("header", "s")).select("doc_id", "header", "s.found", F.size("s.items").alias("n_items"))
 
 
