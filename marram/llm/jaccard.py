@@ -173,11 +173,15 @@ def _entries(docs: DataFrame, n: int, sizes: Sizes, light_to: int) -> DataFrame:
 
     def listed(key: np.ndarray, sig: np.ndarray, many: np.ndarray, light: np.ndarray) -> pd.DataFrame:
         order = np.lexsort((sig, many, light, key))
-        key, sig, many, light = key[order], sig[order], many[order], light[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (light[1:] != light[:-1]) | light[1:])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        own = pd.DataFrame({"key": key, "sig": sig, "n": many, "light": light, "psig": sig[first], "pn": many[first]})
-        return own[new | (sig != sig[first])]
+        k, s, f = key[order], sig[order], light[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1]) | f[1:])
+        first = np.empty(len(order), np.int64)
+        first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        # rows stay in the order of their sets, which packs far better than that of the keys; 0 where there is no first yet
+        own = first == np.arange(len(order))
+        keep = own | (sig != sig[first])
+        out = pd.DataFrame({"key": key, "sig": sig, "n": many, "light": light, "psig": np.where(own, 0, sig[first]), "pn": np.where(own, 0, many[first])})
+        return out[keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, memo = set(), {}
@@ -206,14 +210,14 @@ def _entries(docs: DataFrame, n: int, sizes: Sizes, light_to: int) -> DataFrame:
 def _lists(entries: DataFrame) -> DataFrame:
     """The entries of lists with at least two sets, each with its first: smallest n, then sig, as psig, pn.
 
-    Entries that have a first go where their set does; the others, of which sig is psig, meet by key, and the first of these
-    is that of the list. A task holds the first of a list and the last entry only, so lists may be of any length.
+    Entries that have a first go where their set does; the others, with a pn of 0, meet by key, and the first of these is
+    that of the list. A task holds the first of a list and the last entry only, so lists may be of any length.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = psig = pn = last = None
         for b in batches:
-            done = (b["sig"] != b["psig"]).to_numpy()
+            done = (b["pn"] > 0).to_numpy()
             if done.any():
                 yield b[done]
             b = b[~done]
@@ -231,7 +235,7 @@ def _lists(entries: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": k, "sig": s, "n": n, "light": f, "psig": ps, "pn": pc})[keep]
             key, psig, pn, last = k[-1], ps[-1], pc[-1], s[-1]
 
-    dealt = entries.repartition(F.when(F.col("sig") == F.col("psig"), F.col("key")).otherwise(F.col("sig")))
+    dealt = entries.repartition(F.when(F.col("pn") == 0, F.col("key")).otherwise(F.col("sig")))
     return dealt.sortWithinPartitions("key", "n", "sig").mapInPandas(run, "key long, sig long, n int, light boolean, psig long, pn int")
 
 
@@ -292,9 +296,14 @@ def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -
             if out:
                 yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
-    both = heavy.select("key", "sig", "n", "psig", "pn").unionByName(heavy.select("key", F.col("psig").alias("sig"), F.col("pn").alias("n"), "psig", "pn"))
-    members = skew_join(written(both, "both"), found.select(F.col("node").alias("sig"), "component"), "sig").withColumn("component", F.coalesce("component", "sig"))
-    members = written(members, "members")
+    names = found.select(F.col("node").alias("sig"), "component")
+    own = F.coalesce("component", "sig").alias("component")
+    members = written(skew_join(heavy.select("key", "sig", "n", "psig", "pn"), names, "sig").select("key", "sig", "n", "psig", "pn", own), "members")
+    # a first was held against its entries; where a list has several firsts they are its members too
+    several = written(members.groupBy("key").agg(F.min("psig").alias("lo"), F.max("psig").alias("hi")).where("lo <> hi").select("key"), "several")
+    firsts = skew_join(members.select("key", F.col("psig").alias("sig"), F.col("pn").alias("n"), "psig", "pn"), several.withColumn("two", F.lit(True)), "key", "inner").drop("two").distinct()
+    firsts = skew_join(written(firsts, "firsts"), names, "sig").select("key", "sig", "n", "psig", "pn", own)
+    members = written(members.unionByName(firsts), "all-members")
     # the first of the whole list is the least of the firsts that its tasks gave
     keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("pn", "psig")).alias("first")).where("lo <> hi")
     members = skew_join(members.drop("psig", "pn"), written(keys.select("key", F.col("first.psig").alias("psig")), "open-keys"), "key", "inner")
@@ -323,8 +332,19 @@ def _bodies(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
     names = names.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), "sig")
     same = (F.col("tkey") == F.col("_tkey")) & F.col("id").eqNullSafe(F.col("_id"))
     few = names.count() <= MOST_BROADCAST
-    out = docs.join(F.broadcast(names) if few else names, same).select("sig", "text").mapInPandas(run, "sig long, body binary")
-    return out.dropDuplicates(["sig"])  # rows may be repeated
+    out = written(docs.join(F.broadcast(names) if few else names, same).select("sig", "text").mapInPandas(run, "sig long, body binary"), "bodies")
+    return out.dropDuplicates(["sig"]) if out.count() > names.count() else out  # rows may be repeated
+
+
+def _widened(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found, components (node, component), after links (a, b) of components or of nodes that are in none."""
+    if links.isEmpty():
+        return found
+    joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    every = found.select("node", "component").union(links.select("a", "a").union(links.select("b", "b"))).distinct()
+    every = every.groupBy("node").agg(F.min("component").alias("component"))
+    out = skew_join(written(every, "every"), written(joined, "joined"), "component")
+    return written(out.select("node", F.coalesce("wider", "component").alias("component")), "components")
 
 
 def _components(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -345,16 +365,18 @@ def _components(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     heavy = lists.where(~F.col("light"))
     pairs = written(heavy.where(near("pn", "n")).select(F.col("psig").alias("a"), F.col("sig").alias("b")).distinct(), "pairs")
     ends = heavy.select("sig").union(heavy.select(F.col("psig").alias("sig"))).distinct()
-    bodies = written(_bodies(docs, written(classes.join(ends, "sig").select("name.id", "name.tkey", "sig"), "ends"), n), "bodies")
-    links = written(_verified(pairs, bodies, threshold).union(sure).distinct(), "links")
-    found = written(components(links), "components")
-    joins = written(_joins(heavy, found, bodies, threshold), "joins")
-    if not joins.isEmpty():  # components of components
-        joined = components(joins).select(F.col("node").alias("component"), F.col("component").alias("wider"))
-        every = found.select("node", "component").union(joins.select("a", "a").union(joins.select("b", "b"))).distinct()
-        every = every.groupBy("node").agg(F.min("component").alias("component"))
-        found = skew_join(written(every, "every"), written(joined, "joined"), "component").select("node", F.coalesce("wider", "component").alias("component"))
-        found = written(found, "components")
+    bodies = _bodies(docs, written(classes.join(ends, "sig").select("name.id", "name.tkey", "sig"), "ends"), n)
+    # one pair for each set first: most of the others then lie within a component, and their sets needn't move
+    one = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+    found = written(components(written(_verified(one, bodies, threshold).union(sure).distinct(), "links")), "components")
+    rest = pairs.join(one, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = skew_join(written(rest, "rest"), found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end)
+        rest = rest.withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    rest = written(rest.where("ca <> cb"), "across")
+    links = _verified(rest.select("a", "b"), bodies, threshold).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = _widened(found, written(links.distinct(), "links"))
+    found = _widened(found, written(_joins(heavy, found, bodies, threshold), "joins"))
     # the least name of a component's classes
     named = classes.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = written(named, "named")
