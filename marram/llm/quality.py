@@ -160,15 +160,16 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     every = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n_chars", *CLASSES]]).first()
     shares = [(x or 0) / (every["n_chars"] or 1) for x in (*[every[c] for c in CLASSES], every["n_chars"] - sum(every[c] for c in CLASSES))]
 
-    # a word that is common in the mixture is common in the language or in all documents
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    # a word that is common in the mixture is common in the language or in all documents; counts of these words alone go on
+    totals = written(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     n_words = totals.agg(F.sum("total").alias("n")).first()["n"] or 0
     common = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_SHARE * n_words)
     common = written(common.select(F.lit(None).cast("string").alias("lang"), "word", F.col("n").cast("double").alias("n"), F.lit(float(n_words)).alias("total")), "common")
-    held = skew_join(words, written(totals, "totals"), "lang").where((F.col("lang") != "") & (F.col("n") >= COMMON_SHARE * F.col("total"))).select("lang", "word")
-    held = held.unionByName(totals.where("lang <> ''").select("lang").crossJoin(F.broadcast(common.select("word")))).distinct()  # 1/COMMON_SHARE words
-    share = words.join(held.select("word").distinct(), "word").groupBy("word").agg((F.sum("n") / F.lit(float(n_words or 1))).alias("share"))
-    own = held.join(words, ["lang", "word"], "left").join(share, "word").join(totals, "lang")
+    held = words.join(totals, "lang").where((F.col("lang") != "") & (F.col("n") >= COMMON_SHARE * F.col("total"))).select("lang", "word")
+    held = written(held.unionByName(totals.where("lang <> ''").select("lang").crossJoin(F.broadcast(common.select("word")))).distinct(), "held")  # 1/COMMON_SHARE words
+    few = written(words.join(held.select("word").distinct(), "word", "left_semi"), "few-words")
+    share = few.groupBy("word").agg((F.sum("n") / F.lit(float(n_words or 1))).alias("share"))
+    own = held.join(few, ["lang", "word"], "left").join(share, "word").join(totals, "lang")
     own = own.select("lang", "word", (F.coalesce("n", F.lit(0)) + PRIOR_WORDS * F.col("share")).alias("n"), (F.col("total") + PRIOR_WORDS).cast("double").alias("total")).where(F.col("n") >= COMMON_SHARE * F.col("total"))
     listed = own.unionByName(common).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("c"), F.first("total").alias("total"))
     counts = F.transform("c", lambda x: -x["n"])
