@@ -29,7 +29,7 @@ def normalized_hits(requests: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits that pass all filters, scored.
 
     requests has request_id, query, time_range, as_of and topic; hits has request_id, ix, rank, title, url, content,
-    published_raw and modified_raw. Filters are native and come before all scoring; the request side is the smaller one.
+    published_raw, modified_raw and, if it is known, the variant of the query that brought the hit. Filters are native and come before all scoring; the request side is the smaller one.
     """
     rows = hits.join(requests, "request_id")
     rows = rows.withColumn("raw_url", F.col("url")).withColumn("url", urls.canonical_url(F.col("url"))).withColumn("title", squeeze(F.col("title"))).withColumn("snippet", squeeze(F.col("content")))
@@ -57,6 +57,8 @@ def normalized_hits(requests: DataFrame, hits: DataFrame) -> DataFrame:
         3.0 * lexical_score(F.col("query"), plain) + 1.5 * subject_coverage(F.col("query"), F.concat_ws(" ", plain, F.col("raw_url")))
         + topical + 1.0 / F.greatest(F.lit(1), F.col("rank")) + authority + 0.55 * F.col("freshness_score")
     )
+    if "variant" in hits.columns:  # hits of a variant that names a site or documentation count more where they fit it
+        score = score + sources.variant_adjustment(F.col("variant"), F.col("domain"), F.col("profile.source_type"))
     return rows.select(
         "request_id", "ix", "url", "domain", F.substring("title", 1, 500).alias("title"), F.substring("snippet", 1, 1500).alias("snippet"),
         F.col("rank").alias("search_rank"), F.round(score, 4).alias("discovery_score"), F.round(authority, 4).alias("source_authority"),

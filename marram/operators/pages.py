@@ -93,3 +93,20 @@ def lookup(requests: DataFrame, cache: DataFrame, as_of: str = "as_of") -> DataF
     age = F.unix_seconds(F.col(as_of)) - F.unix_seconds("cached_at")
     out = out.withColumn("state", F.when(F.col("cached_at").isNotNull(), cache_state(age)))
     return out.withColumn("result", F.when(F.col("state") != "expired", F.col("result")))
+
+
+def put(cache: DataFrame, entries: DataFrame) -> DataFrame:
+    """The cache with new entries (cache_key, cached_at, result): the latest of each key, of equal ones the larger result."""
+    both = cache.select("cache_key", "cached_at", "result").unionByName(entries.select("cache_key", "cached_at", "result"))
+    return both.groupBy("cache_key").agg(F.max(F.struct("cached_at", "result")).alias("x")).select("cache_key", "x.cached_at", "x.result")
+
+
+def refreshed(found: DataFrame, fresh: Column, error: Column) -> DataFrame:
+    """What each request of lookup gets: cache tells whether it comes from the cache (hit), a refresh (miss) or, as the
+    refresh failed, from an older entry (stale-fallback), whose refresh_error says why. With neither the result is null."""
+    out = found.withColumn("_error", error).withColumn("_fresh", fresh)
+    hit, failed = F.col("state").eqNullSafe("fresh"), F.col("_error").isNotNull()
+    spare = failed & F.col("result").isNotNull()
+    out = out.withColumn("cache", F.when(hit, "hit").when(~failed, "miss").when(spare, "stale-fallback").otherwise("error"))
+    out = out.withColumn("refresh_error", F.when(~hit, F.col("_error")))
+    return out.withColumn("result", F.when(hit | spare, F.col("result")).when(~failed, F.col("_fresh"))).drop("_error", "_fresh")

@@ -47,24 +47,42 @@ def folded(value: Column) -> Column:
     return value
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: a column that a plan repeats would double with each pattern."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _may(value: Column, low: Column, kind: str, i: int) -> Column:
+    """Whether a text holds what each match of the pattern holds."""
+    out = F.lit(True)
+    for group in NEEDS[kind][i]:
+        has = F.lit(False)
+        for part in group:
+            has = has | F.contains(low, F.lit(part))
+        out = out & has
+    return out & value.rlike(CLASSES[kind][i]) if i in CLASSES[kind] else out
+
+
 def _chain(df: DataFrame, column: str, count: str, kind: str, patterns: tuple[tuple[str, str], ...]) -> DataFrame:
-    out, n = F.col(column), F.col(count)
-    for i, (pattern, instead) in enumerate(patterns):
-        pattern = "(?U)" + pattern
-        # what an earlier pattern leaves has no substring that the text hadn't, but for its replacement
-        low = f"_low_{column}"
-        df = df.withColumn(low, folded(F.col(column))) if i == 0 else df
-        may = F.lit(True)
-        for group in NEEDS[kind][i]:
-            has = F.lit(False)
-            for part in group:
-                has = has | F.contains(F.col(low), F.lit(part))
-            may = may & has
-        if i in CLASSES[kind]:
-            may = may & F.col(column).rlike(CLASSES[kind][i])
-        df = df.withColumn("_next", F.when(may, F.regexp_replace(out, pattern, instead)).otherwise(out))
-        df = df.withColumn(count, n + F.when(F.col("_next") != out, F.regexp_count(out, F.lit(pattern))).otherwise(0)).withColumn(column, F.col("_next"))
-    return df.drop("_next", f"_low_{column}")
+    """The patterns one after another. What an earlier one leaves has no substring that its text hadn't, but for what it put there."""
+
+    def step(state: Column, low: Column, i: int) -> Column:
+        pattern, instead = "(?U)" + patterns[i][0], patterns[i][1]
+
+        def counted(s: Column, t: Column) -> Column:
+            return F.struct(t.alias("t"), (s["n"] + F.when(t != s["t"], F.regexp_count(s["t"], F.lit(pattern))).otherwise(0)).alias("n"))
+
+        return let(state, lambda s: let(F.when(_may(s["t"], low, kind, i), F.regexp_replace(s["t"], pattern, instead)).otherwise(s["t"]), lambda t: counted(s, t)))
+
+    def whole(low: Column) -> Column:
+        state = F.struct(F.col(column).alias("t"), F.col(count).alias("n"))
+        for i in range(len(patterns)):
+            state = step(state, low, i)
+        return state
+
+    # a generator computes the state once, where a projection would be merged into each column that reads it
+    df = df.select("*", F.inline(F.array(let(folded(F.col(column)), whole))).alias("_t", "_n"))
+    return df.withColumn(column, F.col("_t")).withColumn(count, F.col("_n")).drop("_t", "_n")
 
 
 def redact_secrets(df: DataFrame, column: Column, into: str = "redacted", count: str = "n_redactions") -> DataFrame:
@@ -110,7 +128,7 @@ def _without_url_credentials(values: pd.Series) -> pd.DataFrame:
 def _by(run, df: DataFrame, into: str, count: str, needed: Column) -> DataFrame:
     """run over the texts that need it; others are sent to it as null."""
     found = F.pandas_udf(run, "struct<text:string,n:int>")(F.when(needed, F.col(into)))
-    df = df.withColumn("_found", found)
+    df = df.select("*", found.alias("_found"))
     return df.withColumn(count, F.col(count) + F.coalesce("_found.n", F.lit(0))).withColumn(into, F.coalesce("_found.text", into)).drop("_found")
 
 

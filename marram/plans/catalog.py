@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions import dates, html, intent, sources, text, urls
-from marram.operators import discovery, evaluation, lines, links, network, pages, policy, ranking, redact, sections, summary
+from marram.operators import assembly, crawl, discovery, evaluation, lines, links, network, pages, policy, ranking, redact, sections, summary, tasks
 from marram.sources import tables
 from marram.plans.oracles import ORACLES
+from marram.plans.oracles_more import MORE
 
 #: The query of the rankings: words of the synthetic corpus.
 QUERY = "restes onnd thingha erand ofther nterthing"
@@ -310,8 +311,8 @@ def evaluation_rows(spark, d):
     """Requests of hits as cases, latencies from events."""
     rows = _hits(spark, d).withColumn("id", F.col("request_id").cast("string"))
     results = rows.select("id", F.col("domain").alias("title"), F.lit("").alias("content"), "url", F.lit("general_web").alias("source_type"), F.col("url").alias("citation_url"), F.when(F.col("ix") % 4 != 0, "direct").alias("extraction_method"), F.when(F.col("ix") % 5 == 0, "2024-01-01").alias("published_at"), (F.col("ix") % 11 == 0).alias("primary_source_candidate"))
-    cases = spark.createDataFrame([(str(i), 30 + i, ["example.org"] if i % 2 else None, ["tionsh"] if i % 3 else None, ["news"] if i == 6 else None) for i in range(8)], "id string, min_results int, expected_domains array<string>, expected_any_terms array<string>, expected_source_types array<string>")
-    runs = table(spark, d, "events").where("event_id < 7").select(F.col("event_id").cast("string").alias("id"), F.lit(200).alias("status_code"), F.col("value").alias("latency_seconds"))
+    cases = spark.createDataFrame([(str(i), 30 + i, ["example.org"] if i % 2 else None, ["tionsh"] if i % 3 else None, ["news"] if i == 6 else None) for i in [*range(7), -1]], "id string, min_results int, expected_domains array<string>, expected_any_terms array<string>, expected_source_types array<string>")
+    runs = table(spark, d, "events").where(F.col("event_id").isNotNull()).select(F.col("event_id").cast("string").alias("id"), F.lit(200).alias("status_code"), F.col("value").alias("latency_seconds"))
     return evaluation.evaluate(cases, results, runs)
 
 
@@ -336,10 +337,110 @@ def direct_candidates(spark, d):
     return out.select("request_id", "url", "domain", "title", F.round("discovery_score", 4).alias("discovery_score"), "source_type", "evidence_id")
 
 
+def _task(spark, d):
+    """Texts of conversations as tasks, every fifth with words that name a kind of task."""
+    more = F.array(*map(F.lit, ["install the docker compose plugin", "list all rows of the table", "oem cross reference of a filter", 'the \"Known Issues\" of this release', "price and security"]))
+    picked = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) == 0
+    said = F.element_at(more, (F.pmod(F.col("conv_id") + 3 * F.col("turn"), F.lit(5)) + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.when(picked, said).otherwise(F.col("text")).alias("task"))
+
+
+def task_kind(spark, d):
+    return _task(spark, d).select("conv_id", "turn", tasks.is_product(F.col("task")).alias("is_product"), tasks.is_documentation(F.col("task")).alias("is_documentation"))
+
+
+def page_labels(spark, d):
+    labels = tasks.page_labels(F.col("task"), product=tasks.is_product(F.col("task")))
+    return _task(spark, d).select("conv_id", "turn", F.array_join(labels, "|").alias("labels"))
+
+
+def extraction_sufficient(spark, d):
+    n = lambda m: F.col("event_id") % m
+    task = F.element_at(F.array(*map(F.lit, ["all rows of a table", "part number of a filter", "anything"])), (n(3) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", tasks.extraction_sufficient(task, F.when(n(11) == 0, 1).otherwise(0), n(29), n(13), n(2), n(5000)).alias("is_sufficient"))
+
+
+def decode_body(spark, d):
+    """Texts as bytes of several charsets, with right, wrong and unknown names, some cut within a character."""
+    kind = F.pmod("doc_id", F.lit(5))
+    body = F.when(kind == 1, F.encode("text", "UTF-16BE")).otherwise(F.encode("text", "UTF-8"))
+    body = F.when(kind == 3, F.concat(body, F.lit(bytes([0xC3])))).otherwise(body)
+    charset = F.element_at(F.array(*map(F.lit, ["utf-8", "utf-16be", "x-unknown", "utf-8", "us-ascii"])), (kind + 1).cast("int"))
+    rows = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", crawl.decode_body(body, charset).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
+
+
+def assembled_results(spark, d):
+    """Documents as fetched pages under the URLs of pages, their lines as ranked passages, every page but each third found by search."""
+    page = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    none = F.lit(None).cast("string")
+    base = page.select((F.col("doc_id") % 7).alias("request_id"), F.col("doc_id").alias("page_index"), "url")
+    fetched = base.select("*", F.when(F.col("page_index") % 4 != 0, F.concat(F.lit("Page "), F.col("page_index").cast("string"))).alias("title"), F.when(F.col("page_index") % 5 == 0, "2024-05-01").alias("published_at"), none.alias("modified_at"), none.alias("declared_at"), F.lit(None).cast("array<string>").alias("version_context"), F.lit("direct").alias("extraction_method"), F.lit(0).alias("content_chars"))
+    found = base.groupBy("request_id", "url").agg(F.min("page_index").alias("ix")).where("ix % 3 <> 0")
+    found = found.select("request_id", "url", F.concat(F.lit("Hit "), F.col("ix").cast("string")).alias("title"), F.lit("found").alias("snippet"), F.lit("2023-01-01").alias("published_at"), none.alias("modified_at"), none.alias("source_type"), F.lit(None).cast("int").alias("source_tier"), F.lit(None).cast("int").alias("authority_score"), F.lit(None).cast("boolean").alias("primary_source_candidate"), F.lit(0.5).alias("freshness_score"), F.lit(None).cast("array<string>").alias("version_context"), none.alias("evidence_id"), F.lit(None).cast("array<string>").alias("engines"))
+    rows = table(spark, d, "documents").join(page, "doc_id").select((F.col("doc_id") % 7).alias("request_id"), F.col("doc_id").alias("page_index"), F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    passages = rows.select("request_id", "page_index", (F.col("page_index") * 100_000 + F.col("k")).alias("ix"), "text", F.when(F.col("k") % 6 != 5, (F.length("text") % 97) / 10.0).alias("ranking_score"), F.lit(0.25).alias("rerank_score"))
+    requests = spark.createDataFrame([(i, QUERY) for i in range(7)], "request_id long, query string")
+    out = assembly.assembled(requests, fetched, found, passages, 6)
+    return out.select("request_id", "position", "page_index", "title", "url", "content", "snippet", "score", "published_at", "freshness_score", "citation_url")
+
+
+def crawl_outcomes(spark, d):
+    rows = table(spark, d, "pages").select((F.col("page_id") % 7).alias("request_id"), "url", F.col("page_id").alias("ix"))
+    done = rows.where("ix % 3 <> 0").select("request_id", "url", F.when(F.col("ix") % 4 == 0, "TimeoutError").alias("error"))
+    return crawl.crawl_outcomes(rows, done)
+
+
+def distinct_snapshots(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("ix", "text"))
+    return crawl.distinct_snapshots(rows, ["id"]).select(F.col("id").alias("doc_id"), "ix", F.sha2("text", 256).alias("text_sha256"))
+
+
+def merged_text(spark, d):
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("parts"))
+    reply = F.struct(F.lit("https://example.org/api").alias("url"), F.concat(F.get("parts", 0), F.lit("\n\n\n\n\nend ")).alias("text"))
+    none = F.struct(F.lit("https://example.org/none").alias("url"), F.lit("").alias("text"))
+    whole = crawl.merged_text(F.col("parts"), F.array(reply, none))
+    return rows.select("doc_id", F.length(whole).cast("long").alias("n_chars"), F.sha2(whole, 256).alias("text_sha256"))
+
+
+def rerank(spark, d):
+    """Lines of documents as documents to rank; a model's scores for some of them, some not finite."""
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 7).alias("request_id"), F.col("doc_id").alias("ix"), F.round(text.lexical_score(F.lit(QUERY), F.col("text")), 6).alias("lexical_score"), ((F.col("doc_id") % 9) - 4).cast("double").alias("rank_authority"))
+    score = F.when(F.col("ix") % 10 == 0, float("nan")).otherwise((F.col("ix") % 101) / 10.0)
+    scores = rows.where("ix % 3 = 0").select("request_id", "ix", score.alias("model_score"))
+    out = ranking.rerank(rows, scores, ["request_id", "ix"], 20, per=["request_id"])
+    return out.select("request_id", "ix", "position", "is_scored", F.round("ranking_score", 6).alias("ranking_score"))
+
+
+def cache_lookup(spark, d):
+    """Events as requests and as entries of a cache: fresh, stale and expired results, and refreshes that failed."""
+    at = F.lit(AS_OF).cast("timestamp")
+    rows = table(spark, d, "events").select("event_id", F.concat(F.lit("k"), (F.col("event_id") % 997).cast("string")).alias("cache_key"))
+    cached = F.timestamp_seconds(F.unix_seconds(at) - (F.col("event_id") * 37) % 200_000)
+    entries = rows.where("event_id % 2 = 0").select("cache_key", cached.alias("cached_at"), F.col("event_id").cast("string").alias("result"))
+    cache = pages.put(entries.limit(0), entries)
+    asked = rows.where("event_id % 5 = 0").withColumn("as_of", at)
+    got = pages.lookup(asked, cache)
+    fresh = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("new "), F.col("event_id").cast("string")))
+    out = pages.refreshed(got, fresh, F.when(F.col("event_id") % 3 != 0, "TimeoutError"))
+    return out.select("event_id", "cache_key", "state", "result", "cache", "refresh_error")
+
+
+def redact_model_input(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", F.lit("see https://x.org/a?token=abc1234&x=1 or 2001:db8::1")).alias("text"))
+    return redact.redact_model_input(rows, F.col("text")).select("doc_id", "redacted", "n_redactions")
+
+
+def scrape_document(spark, d):
+    p = _read(spark, d).select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("url"), F.col("p.text").alias("content"), F.lit(None).cast("string").alias("published_at"), F.lit(None).cast("string").alias("modified_at"), F.col("p.declared.author").alias("author"), F.col("p.declared.language").alias("language"), F.col("p.links").alias("links"))
+    return tables.scrape_document(p).select("url", F.length("markdown").cast("long").alias("n_chars"), F.size("links").cast("long").alias("n_links"), F.substring("markdown", 1, 60).alias("begins"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows relevant_lines section_map should_capture direct_candidates"
+    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows relevant_lines section_map should_capture direct_candidates task_kind page_labels extraction_sufficient decode_body assembled_results crawl_outcomes distinct_snapshots merged_text rerank cache_lookup redact_model_input scrape_document"
     return {n: globals()[n] for n in names.split()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | MORE

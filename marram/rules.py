@@ -105,3 +105,35 @@ INLINE_SECRET = r"""(?i)(?<![A-Z0-9_.-])((?:[A-Z0-9_.\[\]-]*(?:PASSWORD|PASSWD|S
 SENSITIVE_KEYS = ("access_key", "access_token", "api_key", "apikey", "auth", "auth_token", "authorization", "client_secret", "code", "credential", "id_token", "key", "password", "passwd", "oauth_token", "refresh_token", "secret", "session", "session_id", "session_key", "session_token", "sessionid", "sig", "signature", "sid", "token", "jsessionid", "phpsessionid", "phpsessid", "x_amz_credential", "x_amz_security_token", "x_amz_signature", "x_goog_credential", "x_goog_signature")
 SENSITIVE_ENDS = ("_token", "_secret", "_password", "_signature", "_credential", "_session", "_session_id", "_sessionid")
 SENSITIVE_COMPACT_ENDS = ("token", "secret", "password", "signature", "credential", "sessionid")
+
+# --- fixed values: kinds of tasks, by terms that they hold ---
+PRODUCT_TERMS = ("product", "part", "part number", "sku", "oem", "oe", "cross reference", "xref", "interchange", "replacement", "replaces", "equivalent", "specification", "specifications", "equipment", "application", "maintenance kit", "service kit", "filter")
+DOCUMENTATION_TERMS = (
+    "api", "auth", "authentication", "authorization", "changelog", "config", "configuration", "configure", "container", "compose", "create", "deploy", "deployment", "develop", "docker", "docs", "documentation", "download",
+    "endpoint", "environment", "example", "extension", "faq", "github", "guide", "implement", "install", "installation", "integration", "manual", "manifest", "migration", "package", "plugin", "quickstart", "readme",
+    "reference", "release notes", "repository", "requirements", "schema", "setup", "template", "troubleshoot", "tutorial", "upgrade", "usage", "version", "yaml", "yml",
+)
+DOCUMENTATION_PHRASES = ("best practice", "best practices", "how can", "how do", "how should", "how to", "show me how", "compose file", "docker compose", "self host", "self-host")
+TABLE_TERMS = ("table", "rows", "csv", "all equipment", "complete equipment", "list all")
+REVEAL_LABELS = ("Show more", "View more", "Load more", "More", "Details", "Learn more", "Expand")
+#: Terms of a task for each group of aliases, in the order of the groups.
+LABEL_TERMS = (
+    ("install", "installation", "setup", "getting started", "quickstart", "deploy", "deployment", "self host", "self-host"),
+    ("config", "configuration", "configure", "settings", "environment", "env", "compose", "docker", "yaml", "yml"),
+    ("usage", "example", "examples", "how to", "show me how", "how do", "how can", "tutorial", "guide", "build", "create", "develop", "implement", "extension", "plugin"),
+    ("api", "endpoint", "authentication", "auth", "token", "authorization"),
+    ("troubleshoot", "error", "fix", "issue", "problem", "faq", "known issue"),
+    ("download", "document", "manual", "pdf", "resource"),
+    ("release", "changelog", "version", "migration", "upgrade"),
+    ("price", "pricing", "plan", "billing", "cost"),
+    ("security", "permission", "permissions", "authentication", "authorization"),
+    ("compatibility", "requirement", "requirements", "supported", "platform"),
+    ("docker compose", "docker-compose", "compose file", "compose.yaml", "compose.yml", "docker-compose.yml"),
+    ("extension", "extensions", "plugin", "plugins", "sillytavern", "add-on", "addon"),
+    ("schema", "manifest", "package", "package.json", "readme", "metadata"),
+    ("spec", "specification", "attribute", "dimension", "thread", "gasket"),
+    ("equipment", "application", "fits", "fitment", "used on", "compatibility"),
+    ("cross", "reference", "xref", "interchange", "oem", "oe", "replacement", "replaces", "equivalent", "competitor"),
+    ("maintenance", "kit", "kits", "service kit", "repair kit"),
+)
+MAX_PORTS, MAX_NETWORKS = 32, 128

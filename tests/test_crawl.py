@@ -1,0 +1,96 @@
+import ipaddress
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from marram.operators import assembly, crawl, pages, policy, redact, tasks
+
+
+def test_charsets(spark):
+    rows = [("é €".encode(), "utf-8", "é €"), ("é".encode("latin-1"), "ISO-8859-1", "é"), ("é".encode("utf-16"), "utf-16", "é"), ("é".encode(), "ascii", "é"), (b"ab\xff", "utf-8", "ab�"), ("é".encode(), "x-nothing", "é"), (b"", None, ""), ("é".encode(), None, "é")]
+    docs = spark.createDataFrame([(i, bytearray(b), c) for i, (b, c, _) in enumerate(rows)], "i int, b binary, c string")
+    got = {r["i"]: r["t"] for r in docs.select("i", crawl.decode_body(F.col("b"), F.col("c")).alias("t")).collect()}
+    assert got == {i: t for i, (_, _, t) in enumerate(rows)}
+
+
+def test_payloads(spark):
+    rows = [
+        {"results": [{"url": "https://a.org/x", "title": "T", "markdown": {"fit_markdown": " ", "raw_markdown": "raw *text* "}, "metadata": {"author": "A", "language": ""}, "language": "en", "status_code": 200}]},
+        [{"markdown": "plain text", "metadata": {"title": "In metadata"}}],
+        {"cleaned_html": "<p>one<p>two"},
+        {"extracted_content": '{"name": "Widget"}'},
+        {"results": []},
+    ]
+    docs = spark.createDataFrame([(i, json.dumps(r), "https://b.org/") for i, r in enumerate(rows)], "i int, payload string, url string")
+    got = {r["i"]: r for r in crawl.crawled_pages(docs).collect()}
+    assert (got[0]["content"], got[0]["page_url"], got[0]["title"], got[0]["status_code"], got[0]["facts"]) == ("raw *text*", "https://a.org/x", "T", 200, {"author": "A", "language": "en"})
+    assert (got[1]["content"], got[1]["title"], got[1]["page_url"]) == ("plain text", "In metadata", "https://b.org/")
+    assert got[2]["content"] == "one\ntwo" and got[3]["content"] == "name: Widget" and got[4]["content"] == "" and got[4]["content_chars"] == 0
+
+
+def test_outcomes_and_snapshots(spark):
+    candidates = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (1, "c", 2), (2, "a", 0)], "request_id int, url string, ix int")
+    done = spark.createDataFrame([(1, "a", None), (1, "b", "TimeoutError"), (1, "a", "TimeoutError")], "request_id int, url string, error string")
+    got = {(r["request_id"], r["url"]): r["error"] for r in crawl.crawl_outcomes(candidates, done).collect()}
+    assert got == {(1, "a"): None, (1, "b"): "TimeoutError", (1, "c"): "deadline", (2, "a"): "deadline"}
+    shots = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "a ", None, "a", "b", " ", "a"])], "id int, ix int, text string")
+    assert [r["ix"] for r in crawl.distinct_snapshots(shots, ["id"]).orderBy("ix").collect()] == [0, 4, 6]
+
+
+def test_addresses_are_judged_as_the_standard_library_does():
+    rng = random.Random(2)
+    pool = ["0.0.0.0/8", "100.64.0.0/10", "192.0.0.0/24", "198.0.0.0/8", "203.0.113.0/24", "::/96", "::ffff:0:0/96", "64:ff9b::/96", "100::/16", "2001::/16", "2001::/23", "2001:20::/28", "2001:1::/124", "2001:4:112::/48", "2002::/16", "2000::/3", "fc00::/6", "fe80::/9", "ff00::/8", "::/0", "0.0.0.0/0"]
+    for name in pool * 200:
+        network = ipaddress.ip_network(name)
+        ip = network[rng.randrange(network.num_addresses)]
+        inside = not ip.is_global or ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_unspecified or ip.is_reserved
+        embedded = ip.version == 6 and ip in ipaddress.ip_network("64:ff9b::/96")
+        assert policy.address_fault(str(ip)) == ("embedded address" if embedded else "not public" if inside else None), ip
+
+
+def test_dns_answers_and_limits(spark):
+    rows = [["2606:4700::1", "1.1.1.1", "8.8.8.8", "1.1.1.1"], ["1.1.1.1", "10.0.0.1"], [], None, ["9.9.9.9"], ["x"]]
+    docs = spark.createDataFrame([(i, a) for i, a in enumerate(rows)], "i int, a array<string>")
+    got = [(list(r["x"]["addresses"]), r["x"]["fault"]) for r in docs.select("i", crawl.dns_answers(F.col("a"), ("9.9.9.0/24",)).alias("x")).orderBy("i").collect()]
+    assert got == [(["1.1.1.1", "8.8.8.8", "2606:4700::1"], None), ([], "not public"), ([], "no addresses"), ([], "no addresses"), ([], "denied network"), ([], "not an address")]
+    assert crawl.parse_ports("443, 80,443") == (80, 443) and crawl.parse_networks("10.1.2.3/8, ::1") == ("10.0.0.0/8", "::1/128")
+    for bad in ("", "0", "65536", "x", ",".join(map(str, range(1, 40)))):
+        with pytest.raises(ValueError):
+            crawl.parse_ports(bad)
+
+
+def test_model_input_is_redacted(spark):
+    rows = ["see [2001:db8::1]:80/x and fe80::1%eth0 or 12:30 a::b::c", "go https://x.org/a?token=abc&x=1 now", None, "plain", "TOKEN=abcdefgh1 mail a.b@c.org"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    got = [(r["redacted"], r["n_redactions"]) for r in redact.redact_model_input(docs, F.col("text")).orderBy("i").collect()]
+    assert got[0] == ("see [REDACTED_ADDRESS] and [REDACTED_ADDRESS] or 12:30 a::b::c", 2)
+    assert got[1] == ("go https://x.org/a?token=[REDACTED]&x=1 now", 2) and got[2] == ("", 0) and got[3] == ("plain", 0)
+    assert got[4] == ("TOKEN=[REDACTED] mail [REDACTED_EMAIL]", 2)
+
+
+def test_tasks(spark):
+    docs = spark.createDataFrame([(0, "How to install the plugin"), (1, "OEM part number"), (2, 'find "Wing Nuts" here'), (3, None)], "i int, task string")
+    t = F.col("task")
+    got = {r["i"]: r for r in docs.select("i", tasks.is_product(t).alias("p"), tasks.is_documentation(t).alias("d"), tasks.page_labels(t, product=tasks.is_product(t)).alias("l")).collect()}
+    assert got[0]["d"] and not got[0]["p"] and got[0]["l"][:2] == ["Overview", "Documentation"] and len({x.lower() for x in got[0]["l"]}) == len(got[0]["l"])
+    assert got[1]["p"] and got[1]["l"][0] == "Specifications" and got[2]["l"] == ["Wing Nuts"] and got[3]["l"] == []
+    own = docs.where("i = 2").select(tasks.page_labels(t, F.array(F.lit("Mine"), F.lit(" mine "))).alias("l")).first()["l"]
+    assert own == ["Mine", "Wing Nuts"]
+
+
+def test_cache_and_merge(spark):
+    old = spark.createDataFrame([("k", 5, "a"), ("m", 1, "x")], "cache_key string, cached_at long, result string")
+    new = spark.createDataFrame([("k", 9, "b"), ("k", 9, "c"), ("n", 1, "y")], "cache_key string, cached_at long, result string")
+    assert sorted(map(tuple, pages.put(old, new).collect())) == [("k", 9, "c"), ("m", 1, "x"), ("n", 1, "y")]
+    row = spark.createDataFrame([(["a ", "b"], [("u", "t\n\n\n\n\n1"), ("v", None)])], "p array<string>, r array<struct<url:string,text:string>>")
+    assert row.select(crawl.merged_text(F.col("p"), F.col("r"))).first()[0] == "a \n\nb\n\nNetwork response: u\nt\n\n\n1"
+    scores = spark.createDataFrame([(1.5, 9.0), (None, 2.0), (float("nan"), 3.0), (None, None)], "a double, b double")
+    assert [r[0] for r in scores.select(assembly.document_score(F.col("a"), F.col("b"))).collect()] == [1.5, 2.0, 0.0, 0.0]
+
+
+def test_followed_pages_come_after(spark):
+    a = spark.createDataFrame([(1, 0, "a"), (1, 3, "b")], "request_id int, page_index int, url string")
+    b = spark.createDataFrame([(1, 0, "c"), (2, 0, "d")], "request_id int, page_index int, url string")
+    assert sorted((r["request_id"], r["page_index"], r["url"]) for r in assembly.all_pages(a, b).collect()) == [(1, 0, "a"), (1, 3, "b"), (1, 4, "c"), (2, 0, "d")]
