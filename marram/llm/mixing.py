@@ -16,76 +16,12 @@ from pyspark.sql import functions as F
 
 from marram.llm.common import fresh, n_buckets, running, written
 
-#: Characters of a block; whole weights are shares of PERIOD slots.
-BLOCK_CHARS, PERIOD = 100_000, 1000
+#: Characters of a block, and blocks that the driver plans at most: a larger corpus has larger blocks, a millionth of it each.
+BLOCK_CHARS, MOST_BLOCKS = 100_000, 1_000_000
 #: Blocks of a source in one row of the plan.
 PART = 1000
 
 
-def whole_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as whole numbers of slots, at least 1 each, by largest remainder; their sum is the period that results."""
-    total = sum(weights.values())
-    exact = {k: period * w / total for k, w in weights.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    short = max(0, period - sum(out.values()))
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[:short]:
-        out[k] += 1
-    return out
-
-
-def period_table(weights: Mapping[str, int]) -> list[tuple[str, int]]:
-    """(source, k) for each slot of one period: the k-th block of the source.
-
-    Block k of weight w has release time floor(k / share) and deadline ceil((k + 1) / share) with share = w / period; in
-    each slot the released block with the earliest deadline runs. So before and after each slot a source's blocks differ
-    from share times the slots by less than one.
-    """
-    period = sum(weights.values())
-    waiting: list[list[str]] = [[] for _ in range(period + 1)]
-    for s in sorted(weights):
-        waiting[0].append(s)
-    done, ready, out = dict.fromkeys(weights, 0), [], []
-    for slot in range(period):
-        for s in waiting[slot]:
-            heappush(ready, (-(-(done[s] + 1) * period // weights[s]), s))
-        _, s = heappop(ready)
-        out.append((s, done[s]))
-        done[s] += 1
-        if done[s] < weights[s]:
-            waiting[max(slot + 1, done[s] * period // weights[s])].append(s)
-    return out
-
-
-def phases(weights: Mapping[str, int], blocks: Mapping[str, int]) -> list[tuple[str, int, int, int, int, int, list[int]]]:
-    """Rows (source, first, last, base, weight, period, places) with each source's slots of a phase, and single rows where one ends.
-
-    While all sources have blocks the period repeats; where one runs out, the others share its slots by their weights in a
-    new phase. Each row says of blocks first..last - 1: block first + q * weight + k has slot base + q * period + place,
-    place = places[k]. The rows are as many as sources times phases, however many blocks there are.
-    """
-    left, taken, slot, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        own = {s: weights[s] for s in left}
-        table, period = period_table(own), sum(own.values())
-        full = min(left[s] // own[s] for s in left)
-        rest = {s: left[s] - full * own[s] for s in left}  # a source with none ends with the last whole period
-        end = 0 if min(rest.values()) == 0 else next(i + 1 for i, (s, k) in enumerate(table) if k + 1 == rest[s])
-        here = {s: full * own[s] for s in left}
-        for s, _ in table[:end]:
-            here[s] += 1
-        places: dict[str, list[int]] = {s: [] for s in own}
-        for i, (s, _) in enumerate(table):
-            places[s].append(i)
-        for s in sorted(own):
-            if here[s]:
-                out.append((s, taken[s], taken[s] + here[s], slot, own[s], period, places[s]))
-            taken[s] += here[s]
-            left[s] -= here[s]
-        slot += full * period + end
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
 def timetable(weights: Mapping, blocks: Mapping[str, int]) -> dict[str, tuple[array, array, array]]:
     """For each source (releases, deadlines, slots) of its blocks, by weights as they are: exact fractions, never rounded.
 
@@ -164,6 +100,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col
         shares = {s: max(c, 1) ** temperature for s, (c, _) in totals.items()}
     elif "" in totals and "" not in shares:
         shares[""] = sum(shares.values()) / max(1, len(shares)) or 1.0
+    block_chars = max(block_chars, -(-sum(c for c, _ in totals.values()) // MOST_BLOCKS))
     counts = {s: max(1, -(-c // block_chars)) for s, (c, _) in totals.items()}
     order = sorted(totals, key=lambda s: (s is not None, s))
     plan = timetable(shares, {s: counts[s] for s in order})

@@ -1,38 +1,67 @@
 import random
 from fractions import Fraction
-
-from marram.llm.mixing import mixed, period_table, phases, schedule, timetable, whole_weights
-
-
-def test_lag_is_under_one_block():
-    rng = random.Random(7)
-    for _ in range(100):
-        w = {f"s{i}": rng.randint(1, 30) for i in range(rng.randint(1, 9))}
-        period, done = sum(w.values()), dict.fromkeys(w, 0)
-        table = period_table(w)
-        assert len(table) == period
-        for i, (s, k) in enumerate(table):
-            assert k == done[s]
-            done[s] += 1
-            assert all(abs(done[x] - Fraction((i + 1) * w[x], period)) < 1 for x in w)
-
-
-def test_every_block_gets_its_own_slot():
-    rng = random.Random(8)
-    for _ in range(100):
-        w = {f"s{i}": rng.randint(1, 30) for i in range(rng.randint(1, 6))}
-        blocks = {s: rng.randint(0, 100) for s in w}
-        slots = []
-        for s, first, until, base, weight, period, places in phases(w, blocks):
-            for j in range(first, until):
-                q, k = divmod(j - first, weight)
-                slots.append(base + q * period + places[k])
-        assert sorted(slots) == list(range(sum(blocks.values())))
-
-
-def test_whole_weights():
-    assert whole_weights({"a": 3, "b": 1}, 4) == {"a": 3, "b": 1}
-    assert sum(whole_weights({"a": 1, "b": 1, "c": 1}).values()) == 1000
+from math import ceil, floor
+
+from marram.llm import mixing
+from marram.llm.mixing import mixed, schedule, timetable
+
+
+def brute(weights, blocks):
+    """Earliest deadline first, slot by slot, over releases and deadlines summed up in small steps of the fluid schedule."""
+    fluid, windows, t = {s: Fraction(0) for s in blocks}, {s: [Fraction(0)] for s in blocks}, Fraction(0)
+    while any(fluid[s] < blocks[s] for s in blocks):
+        here = [s for s in blocks if fluid[s] < blocks[s]]
+        total = sum(Fraction(weights[s]) for s in here)
+        step = min((int(fluid[s]) + 1 - fluid[s]) * total / Fraction(weights[s]) for s in here)
+        t += step
+        for s in here:
+            fluid[s] += step * Fraction(weights[s]) / total
+            if fluid[s] == int(fluid[s]) == len(windows[s]):
+                windows[s].append(t)
+    done, out = dict.fromkeys(blocks, 0), {s: [] for s in blocks}
+    for slot in range(sum(blocks.values())):
+        ready = [(ceil(windows[s][done[s] + 1]), list(blocks).index(s), s) for s in blocks if done[s] < blocks[s] and floor(windows[s][done[s]]) <= slot]
+        s = min(ready)[2]
+        out[s].append((floor(windows[s][done[s]]), ceil(windows[s][done[s] + 1]), slot))
+        done[s] += 1
+    return out
+
+
+def test_timetable_equals_brute_force():
+    rng = random.Random(5)
+    for _ in range(60):
+        w = {f"s{i}": Fraction(rng.randint(1, 30), rng.randint(1, 5)) for i in range(rng.randint(1, 6))}
+        blocks = {s: rng.randint(1, 20) for s in w}
+        assert {s: list(zip(*own, strict=True)) for s, own in timetable(w, blocks).items()} == brute(w, blocks)
+
+
+def test_query_equals_brute_force(spark):
+    """The whole table: blocks from running characters in the order of the deal, slots by brute force."""
+    got = schedule(frame(spark), block_chars=5000).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+    chars = {}
+    for _, t, s, _ in rows():
+        chars[s] = chars.get(s, 0) + len(t or "")
+    order = sorted(chars, key=lambda s: (s is not None, s or ""))
+    plan = brute({s: max(chars[s], 1) ** 0.7 for s in order}, {s: max(1, -(-chars[s] // 5000)) for s in order})
+    length = {}
+    for i, t, s, _ in rows():
+        length.setdefault((i, s), len(t or ""))
+    for s, own in by.items():
+        at = 0
+        for r in sorted(own, key=lambda r: (r["place"], length[r["doc_id"], s] > 0)):
+            block = min(at // 5000, len(plan[s]) - 1)
+            assert r["place"] == at and (r["block"], (r["release"], r["deadline"], r["slot"])) == (block, plan[s][block])
+            at += length[r["doc_id"], s]
+        assert at == chars[s]
+
+
+def test_large_corpora_have_larger_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    got = schedule(frame(spark), block_chars=50).collect()
+    assert len(got) == len(rows()) and len({r["slot"] for r in got}) <= 10 + 6
 
 
 def rows():
