@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import n_buckets, running, written
+from marram.llm.common import fresh, n_buckets, running, written
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights, the step of the weights, how far under the best value a configuration may be, and how
@@ -264,13 +264,15 @@ def spread(configs: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
     return out[["length", "rank", "sequence", "offset"]]
 
 
-def in_file_order(docs: DataFrame) -> DataFrame:
-    """docs, as read from files, with the column AT that orders rows as they were written."""
-    rows = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_line"))
-    paths = sorted((r["_path"] for r in rows.select("_path").distinct().collect()), key=lambda p: (len(p), p))
-    table = docs.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], "_path string, _file long")
-    rows = rows.join(F.broadcast(table), "_path")
-    return rows.select(*docs.columns, (F.col("_file") * ROWS_A_FILE + F.col("_line")).alias(AT))
+def in_file_order(docs: DataFrame, *columns: str) -> DataFrame:
+    """These columns of docs, as read from files, with the column AT that orders rows as they were written."""
+    path, line, file = fresh(docs, "_path", "_line", "_file")
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], meta["file_path"].alias(path), meta["row_index"].alias(line))
+    paths = sorted((r[path] for r in rows.select(path).distinct().collect()), key=lambda p: (len(p), p))
+    table = docs.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], f"{path} string, {file} long")
+    rows = rows.join(F.broadcast(table), path)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], (F.col(file) * ROWS_A_FILE + F.col(line)).alias(AT))
 
 
 def pack_in_order(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, window: int | None = None) -> DataFrame:
@@ -317,7 +319,7 @@ def packed(docs: DataFrame, ranks_path: str, pattern: str, specials: Mapping[str
     sequence_id follows the order in which their rows were written.
     """
     if in_order:
-        cut = written(pieces(in_file_order(docs), ranks_path, pattern, specials, capacity, end_id, id_col, text_col), "pieces")
+        cut = written(pieces(in_file_order(docs, id_col, text_col), ranks_path, pattern, specials, capacity, end_id, id_col, text_col), "pieces")
         return pack_in_order(cut, capacity, rounds, window).withColumnRenamed("id", id_col)
     cut = pieces(docs, ranks_path, pattern, specials, capacity, end_id, id_col, text_col)
     cut = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")

@@ -1,7 +1,9 @@
 import random
+from fractions import Fraction
 
 import corpus_pipeline
 from marram.llm import mixing
+from test_jaccard import brute
 
 
 def test_stages_chain(spark, tmp_path):
@@ -51,3 +53,55 @@ def test_sequences_keep_the_mix(spark, tmp_path):
         if seen < 2 * tokens["b"]:
             assert abs(got - seen / 2) < 0.04 * tokens["b"] + 4 * 2048
     assert got == tokens["b"]
+
+
+def stages(spark, docs, where):
+    """The rows that each stage but the last keeps, and those of the last."""
+    docs.write.parquet(f"{where}/documents.parquet")
+    now, out = spark.read.parquet(f"{where}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(where))
+        now.write.parquet(f"{where}/{name}")
+        now = spark.read.parquet(f"{where}/{name}")
+        out[name] = now.collect()
+    return out
+
+
+def test_stages_equal_brute_force_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows and ids, and columns with the operators' own names."""
+    rng = random.Random(14)
+    words = ["the", "of", "and", *[f"w{i}" for i in range(300)]] + ["the", "of", "and"] * 50
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = [(i, " ".join(make(140)), rng.choice(["en", None, "xx"]), rng.choice(["s1", "s2", None, ""]), 0) for i in range(60)]
+    for k in range(12):  # exact copies, repeated rows, near copies
+        i, t, lang, source, n = rows[k]
+        rows += [(100 + k, t + "  ", lang, source, n), (i, t, lang, source, n)]
+        w = t.split()
+        w[3] = "changed"
+        rows.append((200 + k, " ".join(w), lang, source, None))
+    rows += [(None, rows[20][1], None, None, None), (None, " ".join(make(140)), None, None, None), (7, None, "en", "s1", 0), (8, "", "en", "s1", 0), (9, " \n", None, None, 0), (10, "few words", "en", "s2", 0)]
+    rows = [(*r, "x", 1, 2) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality string, _slot long, _path long").repartition(3)
+    got = stages(spark, docs, tmp_path)
+    good = [r for r in rows if len((r[1] or "").split()) >= 50]
+    assert sorted(map(str, map(tuple, got["quality_rules"]))) == sorted(map(str, good))
+    best = {}
+    for r in good:
+        key = (-len(r[1]), r[0] is None, r[0] or 0)
+        bare = "".join(r[1].split())
+        if bare not in best or key < best[bare][0]:
+            best[bare] = key, r
+    distinct = [r for _, r in best.values()]
+    assert sorted(map(str, map(tuple, got["exact_dedup"]))) == sorted(map(str, distinct))
+    groups = {}
+    for i, _, root in brute([r[1] for r in distinct], 5, Fraction(8, 10)):
+        groups.setdefault(root, []).append(distinct[i])
+    apart = [min(own, key=lambda r: (r[0] is None, r[0] or 0)) for own in groups.values()]
+    assert len(apart) < len(distinct)
+    assert sorted(map(str, map(tuple, got["ngram_jaccard"]))) == sorted(map(str, apart)) == sorted(map(str, map(tuple, got["mixing"])))
+    assert sorted(str(r["doc_id"]) for r in got["packing"] if r["piece"] == 0) == sorted(str(r[0]) for r in apart)
+
+
+def test_empty_documents(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert not any(stages(spark, docs, tmp_path).values())
