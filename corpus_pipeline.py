@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over documents, each by one operator of marram.llm."""
+"""The corpus pipeline: five stages over documents, each by one operator of marram.llm.
+
+Any column may be null, ids may repeat, rows may be repeated and documents may have more columns: a null or empty text has too
+few words and goes at the first stage; of equal texts, and of near ones, exactly one row stays; null sources are a source of
+their own. All stages but the last return the columns of documents. An empty table passes as an empty table.
+"""
 
 from __future__ import annotations
 
