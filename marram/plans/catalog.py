@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marram import rules
 from marram.functions import dates, html, intent, sources, text, urls
 from marram.operators import assembly, crawl, discovery, evaluation, lines, links, network, pages, policy, ranking, redact, sections, summary, tasks
 from marram.sources import tables
@@ -20,6 +21,8 @@ from marram.plans.oracles_more import MORE
 #: The query of the rankings: words of the synthetic corpus.
 QUERY = "restes onnd thingha erand ofther nterthing"
 AS_OF = "2024-06-30 00:00:00"
+#: Domains with a weight of their own, in the order of the alphabet.
+ADJUSTED = sorted(rules.DOMAIN_BOOSTS | rules.DOMAIN_PENALTIES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +54,11 @@ def root_domain(spark, d):
 
 
 def sensitive_key(spark, d):
-    key = F.regexp_extract(F.col("url"), r"[?&]([^=&#]+)=", 1)
-    return _urls(spark, d).select("page_id", key.alias("key"), urls.sensitive_key(key).alias("is_sensitive"))
+    """All keys of the URLs, and one more of each: of credentials and of none, with marks and in capitals."""
+    names = F.array(*map(F.lit, ["Access-Token", "X-Amz-Signature", "session_key", "sessionABC", "my.password", "page", "monkey", "PHPSESSID", "client_secret2", "Sig"]))
+    more = F.concat("url", F.lit("&"), F.element_at(names, (F.col("page_id") % 10 + 1).cast("int")), F.lit("=1"))
+    rows = _urls(spark, d).select("page_id", F.posexplode(F.regexp_extract_all(more, F.lit(r"[?&]([^=&#]+)="), F.lit(1))).alias("ix", "key"))
+    return rows.select("page_id", "ix", "key", urls.sensitive_key(F.col("key")).alias("is_sensitive"))
 
 
 def extract_urls(spark, d):
@@ -61,7 +67,12 @@ def extract_urls(spark, d):
 
 
 def source_adjustment(spark, d):
-    return _urls(spark, d).select("page_id", F.round(sources.source_adjustment(urls.domain(F.col("url"))), 4).alias("source_adjustment"))
+    """Domains of pages, of each weighted domain, under each, and only alike."""
+    known = F.array(*map(F.lit, ADJUSTED))
+    name = F.element_at(known, (F.col("page_id") % len(ADJUSTED) + 1).cast("int"))
+    kind = F.floor(F.col("page_id") / len(ADJUSTED)) % 4
+    at = F.when(kind == 0, name).when(kind == 1, F.concat(F.lit("docs."), name)).when(kind == 2, F.concat(F.lit("not"), name)).otherwise(urls.domain(F.col("url")))
+    return _urls(spark, d).select("page_id", F.round(sources.source_adjustment(at), 4).alias("source_adjustment"))
 
 
 def source_profile(spark, d):
@@ -111,8 +122,16 @@ def query_variants(spark, d):
 
 
 def normalize_date(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("raw"))
-    return rows.select("event_id", dates.normalize_date(F.col("raw")).alias("normalized"))
+    """Stamps of events in each form: ISO with and without an offset, a date, RFC 2822, epoch seconds and milliseconds, a date in
+    a text, figures alone, and none."""
+    at = F.date_trunc("second", F.col("ts"))
+    forms = [
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.concat(F.date_format(at + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")), F.date_format(at, "yyyy-MM-dd"),
+        F.date_format(at, "EEE, d MMM yyyy HH:mm:ss 'GMT'"), F.unix_seconds(at).cast("string"), F.unix_millis(at).cast("string"),
+        F.concat(F.lit("posted "), F.date_format(at, "yyyy/M/d"), F.lit(" by someone")), F.date_format(at, "yyyyMMdd"), F.concat(F.lit("no date "), F.col("event_id").cast("string")), F.lit(" "),
+    ]
+    raw = F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", dates.normalize_date(raw).alias("normalized"))
 
 
 def freshness(spark, d):
@@ -125,7 +144,8 @@ def version_markers(spark, d):
 
 
 def normalize_heading(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalize_heading(F.substring_index("text", "\n", 1)).alias("heading"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ix", "line"))
+    return rows.select("doc_id", "ix", text.normalize_heading(F.col("line")).alias("heading"))
 
 
 def ranking_score(spark, d):
@@ -243,8 +263,15 @@ def page_title(spark, d):
 
 
 def page_metadata(spark, d):
+    """Pages whose heads declare facts: as properties, as names, in JSON for each third page, or not at all for each fifth."""
+    n = F.col("page_id").cast("string")
+    day = F.concat(F.lit("2024-03-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"))
+    names = F.concat(F.lit('<meta name="author" content="Author '), n, F.lit('"><meta property="og:description" content=" About  '), n, F.lit(' "><meta property="article:published_time" content="'), day, F.lit('T10:00:00Z"><meta name="last-modified" content="'), day, F.lit('">'))
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@type": "Article", "author": [{"name": "A'), n, F.lit('"}, {"name": "B"}], "datePublished": "'), day, F.lit('", "description": "LD"}</script>'))
+    head = F.when(F.col("page_id") % 5 == 0, "").when(F.col("page_id") % 3 == 0, ld).otherwise(names)
+    page = table(spark, d, "pages").select("page_id", html.read_page(F.concat(head, F.col("html")), F.col("url")).alias("p"))
     p = "p.declared."
-    return _read(spark, d).select("page_id", F.col(p + "language").alias("language"), F.col(p + "author").alias("author"), F.col(p + "description").alias("description"), dates.normalize_date(F.col(p + "published")).alias("published_at"), dates.normalize_date(F.col(p + "modified")).alias("modified_at"))
+    return page.select("page_id", F.col(p + "language").alias("language"), F.col(p + "author").alias("author"), F.col(p + "description").alias("description"), dates.normalize_date(F.col(p + "published")).alias("published_at"), dates.normalize_date(F.col(p + "modified")).alias("modified_at"))
 
 
 def page_links(spark, d):
@@ -261,7 +288,7 @@ def normalized_hits(spark, d):
     requests = spark.createDataFrame([(i, q, None) for i, q in enumerate(names)], "request_id long, query string, time_range string").withColumn("as_of", F.lit(AS_OF).cast("timestamp"))
     page = table(spark, d, "pages")
     none = F.lit(None).cast("string")
-    hits = page.select((F.col("page_id") % 3).alias("request_id"), F.col("page_id").alias("ix"), (F.col("page_id") % 10 + 1).cast("int").alias("rank"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), "url", F.substring(F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1), 1, 400).alias("content"), none.alias("published_raw"), none.alias("modified_raw"))
+    hits = page.select((F.col("page_id") % 3).alias("request_id"), F.col("page_id").alias("ix"), (F.col("page_id") % 10 + 1).cast("int").alias("rank"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), "url", F.array_join(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1)), " ").alias("content"), none.alias("published_raw"), none.alias("modified_raw"))
     out = discovery.discover(requests, hits)
     return out.withColumn("version_context", F.array_join("version_context", ","))
 

@@ -64,7 +64,6 @@ _Q = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 ORACLES = {
     "source_profile": _PROFILE,
     "subject_coverage": "SELECT doc_id, round((" + " + ".join(f"regexp_matches({_PAD}, '(?i)[^\\p{{L}}\\p{{N}}_]{w}[^\\p{{L}}\\p{{N}}_]')::INT" for w in _TERMS) + f") / {len(_TERMS)}.0, 6)::DOUBLE AS subject_coverage FROM documents",
-    "page_metadata": "SELECT page_id, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS language, NULL::VARCHAR AS author, NULL::VARCHAR AS description, NULL::VARCHAR AS published_at, NULL::VARCHAR AS modified_at FROM pages",
     "flatten_props": "SELECT event_id, regexp_replace(regexp_replace(props, '[{}\"]', '', 'g'), ':\\s*', ': ', 'g') AS flat FROM events",
     "query_variants": f"SELECT conv_id, turn, (generate_subscripts(v, 1) - 1)::INT AS variant_ix, unnest(v) AS variant FROM (SELECT conv_id, turn, (list_filter([q, CASE WHEN {_has('docker_documentation', 'q')} THEN q || ' site:docs.docker.com' WHEN {_has('technical', 'q')} AND {_has('instruction', 'q')} THEN q || ' official documentation' WHEN {_has('current', 'q')} THEN q || ' latest' WHEN {_has('technical', 'q')} THEN q || ' official documentation' END, q || ' authoritative sources'], lambda x: x IS NOT NULL)) AS v FROM (SELECT conv_id, turn, {_Q} AS q FROM conversations))",
     "canonical_url": f"SELECT page_id, {_CANONICAL} AS canonical_url FROM pages",
@@ -72,9 +71,7 @@ ORACLES = {
     "evidence_id": f"SELECT page_id, 'ev-' || substr(sha256({_CANONICAL}), 1, 16) AS evidence_id FROM pages",
     "domain": f"SELECT page_id, {_DOMAIN} AS domain FROM pages",
     "root_domain": f"SELECT page_id, {_ROOT} AS root_domain FROM pages",
-    "sensitive_key": f"SELECT page_id, key, (replace(lower(key), '-', '_') IN ({', '.join(repr(k) for k in rules.SENSITIVE_KEYS)}) OR regexp_matches(regexp_replace(lower(key), '[^a-z0-9]', '', 'g'), '^session|(token|secret|password|signature|credential|sessionid)$')) AS is_sensitive FROM (SELECT page_id, regexp_extract(url, '[?&]([^=&#]+)=', 1) AS key FROM pages)",
     "extract_urls": f"SELECT page_id, {_CANONICAL} AS urls FROM pages",
-    "source_adjustment": f"SELECT page_id, CASE split_part({_DOMAIN}, '.', 1) WHEN 'docs' THEN 1.2 WHEN 'developer' THEN 1.0 WHEN 'support' THEN 0.9 ELSE 0.0 END::DOUBLE AS source_adjustment FROM pages",
     "tokens": rf"WITH l AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[\p{{L}}\p{{N}}\p{{M}}]+(?:[-.][\p{{L}}\p{{N}}\p{{M}}]+)*') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM l), f AS (SELECT doc_id, w, min(i) AS i FROM u WHERE (length(w) >= 2 OR regexp_matches(w, '^\d+$')) AND w NOT IN ({_STOP}) GROUP BY doc_id, w), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f) SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY n) FILTER (WHERE n <= 80), '') AS tokens FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id",
     "page_title": r"SELECT page_id, nullif(substr(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g')), 1, 500), '') AS title FROM pages",
     "lexical_score": f"SELECT doc_id, round({_score('text')}, 6) AS lexical_score FROM documents",
@@ -83,9 +80,7 @@ ORACLES = {
     "temporal_requirement": f"SELECT conv_id, turn, CASE WHEN {_has('current_query')} THEN 'high' WHEN {_has('version_sensitive')} THEN 'moderate' ELSE 'none' END AS temporal_requirement FROM conversations",
     "categories": f"SELECT conv_id, turn, 'general' || CASE WHEN {_has('technical')} THEN ',it' ELSE '' END || CASE WHEN {_has('current')} THEN ',news' ELSE '' END || CASE WHEN {_has('academic')} THEN ',science' ELSE '' END || CASE WHEN {_has('image')} THEN ',images' ELSE '' END AS categories FROM conversations",
     "engines": f"SELECT conv_id, turn, 'startpage,bing,brave' || CASE WHEN {_has('technical')} AND {_has('web_platform')} THEN ',mdn' ELSE '' END || CASE WHEN {_has('technical')} AND ({_has('programming')} OR {_has('troubleshoot')}) THEN ',stackoverflow' ELSE '' END || CASE WHEN {_has('technical')} AND {_has('ubuntu')} THEN ',askubuntu' ELSE '' END || CASE WHEN {_has('current')} THEN ',startpage news,bing news,brave.news,reuters' ELSE '' END || CASE WHEN {_has('academic')} THEN ',arxiv,pubmed,semantic scholar,openalex,crossref' ELSE '' END || CASE WHEN {_has('image')} THEN ',startpage images,bing images,brave.images,wikicommons.images' ELSE '' END AS engines FROM conversations",
-    "normalize_date": "SELECT event_id, CASE WHEN date_trunc('second', ts) = date_trunc('day', ts) THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS normalized FROM events",
     "freshness": "SELECT event_id, CASE WHEN d < -2 THEN 0.0 ELSE round(CASE WHEN d <= 7 THEN 1.0 WHEN d <= 30 THEN 0.9 WHEN d <= 90 THEN 0.72 WHEN d <= 365 THEN 0.48 WHEN d <= 1095 THEN 0.2 ELSE 0.05 END::DOUBLE * CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0.5 END, 4) END::DOUBLE AS freshness FROM (SELECT event_id, user_id, (epoch(TIMESTAMP '2024-06-30') - floor(epoch(ts))) / 86400.0 AS d FROM events)",
-    "normalize_heading": "SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS heading FROM documents",
     "ranking_score": "SELECT event_id, round(1.0 + 0.12 * greatest(-4.0, least(4.0, coalesce(value, 0) / 20)), 6)::DOUBLE AS ranking_score FROM events",
     "body_format": "SELECT page_id, CASE WHEN regexp_matches(html, '^\\s*[{\\[]') THEN 'json' WHEN contains(lower(substr(html, 1, 2000)), '<html') THEN 'html' ELSE 'text' END AS format FROM pages",
     "usable_pages": "SELECT doc_id, length(t) >= 900 AND (" + " + ".join(f"contains(lower(substr(t, 1, 3000)), '{m}')::INT" for m in rules.CHALLENGE_MARKERS) + ") < 2 AS usable FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marram import rules
 from marram.operators.sections import ALIASES, DOCUMENTATION, PRODUCT
-from marram.plans.oracles import _ROOT, _score
+from marram.plans.oracles import _DOMAIN, _ROOT, _score
 
 _TASK = """(SELECT conv_id, turn, lower(coalesce(task, '')) AS low, coalesce(task, '') AS task FROM (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 0
   THEN (['install the docker compose plugin', 'list all rows of the table', 'oem cross reference of a filter', 'the "Known Issues" of this release', 'price and security'])[((conv_id + 3 * turn) % 5 + 1)::INT]
@@ -27,7 +27,36 @@ _LABELS = " || ".join([
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents)"
 _TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
+_ADJUSTED = sorted(rules.DOMAIN_BOOSTS | rules.DOMAIN_PENALTIES)
+_WEIGHTS = " + ".join([
+    "CASE split_part(d, '.', 1) WHEN 'docs' THEN 1.2 WHEN 'developer' THEN 1.0 WHEN 'support' THEN 0.9 ELSE 0.0 END",
+    *[f"CASE WHEN d = '{n}' OR ends_with(d, '.{n}') THEN {v} ELSE 0.0 END" for n, v in (rules.DOMAIN_BOOSTS | rules.DOMAIN_PENALTIES).items()],
+])
+_COMPACT = "regexp_replace(lower(key), '[^a-z0-9]', '', 'g')"
+_DAY = "'2024-03-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0')"
+
 MORE = {
+    "normalize_heading": f"SELECT doc_id, k::INT AS ix, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) AS heading FROM {_LINES}",
+    "sensitive_key": f"""
+WITH u AS (SELECT page_id, url || '&' || (['Access-Token', 'X-Amz-Signature', 'session_key', 'sessionABC', 'my.password', 'page', 'monkey', 'PHPSESSID', 'client_secret2', 'Sig'])[(page_id % 10 + 1)::INT] || '=1' AS u FROM pages),
+k AS (SELECT page_id, unnest(l) AS key, generate_subscripts(l, 1) - 1 AS ix FROM (SELECT page_id, regexp_extract_all(u, '[?&]([^=&#]+)=', 1) AS l FROM u))
+SELECT page_id, ix::INT AS ix, key, replace(lower(key), '-', '_') IN ({', '.join(repr(k) for k in rules.SENSITIVE_KEYS)})
+  OR {_COMPACT} IN ({', '.join(repr(k.replace('_', '')) for k in rules.SENSITIVE_KEYS)})
+  OR regexp_matches({_COMPACT}, '^session|(token|secret|password|signature|credential|sessionid)$')
+  OR regexp_matches(replace(lower(key), '-', '_'), '^session_|_(token|secret|password|signature|credential|session|session_id|sessionid)$') AS is_sensitive FROM k""",
+    "source_adjustment": f"""
+SELECT page_id, round(({_WEIGHTS})::DOUBLE, 4) AS source_adjustment FROM (
+  SELECT page_id, CASE page_id // {len(_ADJUSTED)} % 4 WHEN 0 THEN n WHEN 1 THEN 'docs.' || n WHEN 2 THEN 'not' || n ELSE {_DOMAIN} END AS d
+  FROM (SELECT *, ({_list(tuple(_ADJUSTED))})[(page_id % {len(_ADJUSTED)} + 1)::INT] AS n FROM pages))""",
+    "normalize_date": """
+SELECT event_id, CASE WHEN event_id % 10 IN (8, 9) THEN NULL WHEN event_id % 10 IN (2, 6, 7) OR date_trunc('second', ts) = date_trunc('day', ts) THEN strftime(ts, '%Y-%m-%d')
+  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS normalized FROM events""",
+    "page_metadata": f"""
+SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language,
+       CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'A' || page_id || ', B' ELSE 'Author ' || page_id END AS author,
+       CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'LD' ELSE 'About ' || page_id END AS description,
+       CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 3 = 0 THEN {_DAY} ELSE {_DAY} || 'T10:00:00Z' END AS published_at,
+       CASE WHEN page_id % 5 = 0 OR page_id % 3 = 0 THEN NULL ELSE {_DAY} END AS modified_at FROM pages""",
     "task_kind": f"SELECT conv_id, turn, {_PRODUCT} AS is_product, {_DOCUMENTATION} AS is_documentation FROM {_TASK}",
     "page_labels": f"SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(low_l, lower(x)) = i), '|') AS labels FROM (SELECT *, list_transform(l, lambda y: lower(y)) AS low_l FROM (SELECT conv_id, turn, list_filter(list_transform({_LABELS}, lambda z: trim(z)), lambda z: z <> '') AS l FROM {_TASK}))",
     "extraction_sufficient": "SELECT event_id, (t = 0 AND r >= 20) OR (t = 1 AND (s OR r >= 10 OR l >= 10)) OR s OR l >= 8 OR (n > 0 AND c > 1000) OR (c > 3000 AND l >= 3) AS is_sufficient FROM (SELECT event_id, event_id % 3 AS t, event_id % 11 = 0 AS s, event_id % 29 AS r, event_id % 13 AS l, event_id % 2 AS n, event_id % 5000 AS c FROM events)",
