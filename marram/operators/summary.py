@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marram.functions import urls
 from marram.functions.dates import temporal_requirement
@@ -51,8 +52,16 @@ def evidence_summary(results: DataFrame, requests: DataFrame) -> DataFrame:
 def latency_summary(rows: DataFrame, per: list[str]) -> DataFrame:
     """(per, cases, passed, pass_rate, median_latency, p95_latency) of rows with passed and latency.
 
-    The 95th percentile is the value of rank round(0.95 n) - 1, halves to even, within bounds.
+    The 95th percentile is the value of rank round(0.95 n) - 1, halves to even, within bounds. Rows are counted by value
+    first, and running counts find the ranks, so no group is held in one array.
     """
-    agg = rows.groupBy(*per).agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.median("latency").alias("median_latency"), F.array_sort(F.collect_list("latency")).alias("_sorted"))
-    rank = F.greatest(F.lit(0), F.least(F.col("cases") - 1, F.bround(F.lit(0.95) * F.col("cases"), 0).cast("long") - 1))
-    return agg.select(*per, "cases", F.col("passed").cast("long").alias("passed"), F.round(F.col("passed") / F.col("cases"), 4).alias("pass_rate"), F.round("median_latency", 3).alias("median_latency"), F.round(F.get("_sorted", rank.cast("int")), 3).alias("p95_latency"))
+    counts = rows.groupBy(*per, "latency").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+    whole = Window.partitionBy(*per)
+    upto = whole.orderBy(F.asc_nulls_last("latency")).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.sum(F.when(F.col("latency").isNotNull(), F.col("n")).otherwise(0)).over(whole)
+    placed = counts.select(*per, "latency", "n", "passed", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("cases"), known.alias("known"))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("latency")))
+    last = F.greatest(F.lit(0), F.least(F.col("cases") - 1, F.bround(F.lit(0.95) * F.col("cases"), 0).cast("long") - 1))
+    middle = (at(F.floor((F.col("known") - 1) / 2)) + at(F.floor(F.col("known") / 2))) / 2
+    agg = placed.groupBy(*per).agg(F.sum("n").alias("cases"), F.sum("passed").cast("long").alias("passed"), middle.alias("median_latency"), F.when(F.max(last) < F.max("known"), at(last)).alias("p95_latency"))
+    return agg.select(*per, "cases", "passed", F.round(F.col("passed") / F.col("cases"), 4).alias("pass_rate"), F.round("median_latency", 3).alias("median_latency"), F.round("p95_latency", 3).alias("p95_latency"))
