@@ -17,6 +17,8 @@ SPACE = r"\x20\x09-\x0D"
 #: At most so many keys of a join are treated as hot, each with more than so many rows.
 HOT_KEYS, HOT_ROWS = 1000, 100
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folder: list[str] = []
 _tables: list[str] = []
 
@@ -36,10 +38,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    The shuffle files of the write aren't needed after it, so Spark is told to delete them then, where it can (from 4.1 on).
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/marram-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
