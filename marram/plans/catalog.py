@@ -464,8 +464,26 @@ def scrape_document(spark, d):
     return tables.scrape_document(p).select("url", F.length("markdown").cast("long").alias("n_chars"), F.size("links").cast("long").alias("n_links"), F.substring("markdown", 1, 60).alias("begins"))
 
 
+def network_responses(spark, d):
+    """The responses that network_score scores, each URL twice; the best of the first sightings."""
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("ix"), F.concat("url", F.when(F.col("page_id") % 2 == 0, "/api/data.json").otherwise("")).alias("url"), F.lit(200).alias("status"), F.when(F.col("page_id") % 3 == 0, "application/json").otherwise("text/plain").alias("content_type"), F.col("html").alias("text"))
+    rows = rows.unionByName(rows.withColumn("ix", F.col("ix") + 1_000_000_000))
+    terms = network.relevance_terms(F.lit("thing about example data"), F.array().cast("array<string>"))
+    return network.select_network(network.network_scores(rows, terms, F.lit("www.example.com"))).select("ix", "url", "score")
+
+
+def evaluation_report(spark, d):
+    return evaluation.report(evaluation_rows(spark, d))
+
+
+def search_envelope(spark, d):
+    rows = ranking.top_k(_hits(spark, d), [F.desc("discovery_score"), F.col("ix")], 12, ["request_id"]).select("request_id", "position", "url")
+    out = tables.search_envelope(rows)
+    return out.select("request_id", "number_of_results", F.array_join(F.transform("results", lambda x: x["url"]), " ").alias("urls"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows relevant_lines section_map should_capture direct_candidates task_kind page_labels extraction_sufficient decode_body assembled_results crawl_outcomes distinct_snapshots merged_text rerank cache_lookup redact_model_input scrape_document"
+    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows relevant_lines section_map should_capture direct_candidates task_kind page_labels extraction_sufficient decode_body assembled_results crawl_outcomes distinct_snapshots merged_text rerank cache_lookup redact_model_input scrape_document network_responses evaluation_report search_envelope"
     return {n: globals()[n] for n in names.split()}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marram import rules
 from marram.operators.sections import ALIASES, DOCUMENTATION, PRODUCT
-from marram.plans.oracles import _DOMAIN, _ROOT, _score
+from marram.plans.oracles import _DOMAIN, _HITS, _QUERY, _ROOT, ORACLES, _score
 
 _TASK = """(SELECT conv_id, turn, lower(coalesce(task, '')) AS low, coalesce(task, '') AS task FROM (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 0
   THEN (['install the docker compose plugin', 'list all rows of the table', 'oem cross reference of a filter', 'the "Known Issues" of this release', 'price and security'])[((conv_id + 3 * turn) % 5 + 1)::INT]
@@ -35,7 +35,20 @@ _WEIGHTS = " + ".join([
 _COMPACT = "regexp_replace(lower(key), '[^a-z0-9]', '', 'g')"
 _DAY = "'2024-03-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0')"
 
+_W = r"\p{L}\p{N}\p{M}_"
+_TERM = " OR ".join(f"contains(lower(line), '{w}')" for w in _QUERY.split())
+
 MORE = {
+    "search_envelope": f"SELECT request_id, count(*) AS number_of_results, string_agg(url, ' ' ORDER BY position) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY discovery_score DESC, ix) AS position FROM {_HITS}) WHERE position <= 12 GROUP BY request_id",
+    "table_like_rows": rf"""
+SELECT doc_id, ix, line FROM ({ORACLES["distinct_lines"]})
+WHERE regexp_matches(line, '\s{{2,}}|\||,|\t') OR regexp_matches(line, '(^|[^{_W}])(19|20)[0-9]{{2}}($|[^{_W}])') OR regexp_matches(line, '(^|[^{_W}])[A-Z0-9][A-Z0-9-]{{2,}}[A-Z0-9]($|[^{_W}])') OR {_TERM}""",
+    "page_links": r"""
+WITH a AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '://' || regexp_extract(url, '^https?://([^/?#]*)', 1) AS base, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages),
+u AS (SELECT page_id, base, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM a),
+v AS (SELECT page_id, i, base || regexp_extract(x, '<a href="([^"]*)"', 1) AS url, trim(regexp_replace(regexp_extract(x, '>([^<]*)<', 1), '\s+', ' ', 'g')) AS anchor FROM u),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY i) AS rn FROM v)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS link_ix, url, anchor FROM f WHERE rn = 1""",
     "normalize_heading": f"SELECT doc_id, k::INT AS ix, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) AS heading FROM {_LINES}",
     "sensitive_key": f"""
 WITH u AS (SELECT page_id, url || '&' || (['Access-Token', 'X-Amz-Signature', 'session_key', 'sessionABC', 'my.password', 'page', 'monkey', 'PHPSESSID', 'client_secret2', 'Sig'])[(page_id % 10 + 1)::INT] || '=1' AS u FROM pages),
