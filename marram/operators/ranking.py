@@ -42,6 +42,17 @@ def rerank(docs: DataFrame, scores: DataFrame, keys: list[str], k: int, ix: str
     return top_k(out, [F.desc("is_scored"), F.desc("ranking_score"), F.col(ix)], k, per)
 
 
+def rerank_status(requests: DataFrame, docs: DataFrame, scores: DataFrame, per: str = "request_id", ix: str = "ix") -> DataFrame:
+    """(per, rerank_status) of each request (per, failure): ok where all documents have a model's finite score, partial where
+    some have, fallback with the failure, or invalid_response, where none has, and empty without documents."""
+    finite = scores.where(F.col("model_score").isNotNull() & ~F.isnan("model_score") & (F.abs("model_score") != float("inf")))
+    rows = docs.select(per, ix).join(finite.select(per, ix, F.lit(1).alias("_one")).distinct(), [per, ix], "left")
+    counts = rows.groupBy(per).agg(F.count("*").alias("_all"), F.count("_one").alias("_scored"))
+    n, k = F.coalesce("_all", F.lit(0)), F.coalesce("_scored", F.lit(0))
+    status = F.when(n == 0, "empty").when(k == 0, F.concat(F.lit("fallback:"), F.coalesce("failure", F.lit("invalid_response")))).when(k == n, "ok").otherwise("partial")
+    return requests.join(counts, per, "left").select(per, status.alias("rerank_status"))
+
+
 def prefilter_passages(passages: DataFrame, per: list[str] | None = None, ix: str = "ix", k: int = rules.MAX_PASSAGES) -> DataFrame:
     """Passages with a lexical score, or among the first of their page; the best k by lexical and source score."""
     kept = passages.where((F.col("lexical_score") > 0) | (F.col("passage_index") <= rules.EARLY_PASSAGES))

@@ -440,6 +440,14 @@ def rerank(spark, d):
     return out.select("request_id", "ix", "position", "is_scored", F.round("ranking_score", 6).alias("ranking_score"))
 
 
+def rerank_status(spark, d):
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 11).alias("request_id"), F.col("doc_id").alias("ix"))
+    r = F.col("request_id")
+    score = F.when(r == 3, float("nan")).when((r == 4) & (F.col("ix") % 2 == 0), float("inf")).when((r != 5) | (F.col("ix") % 3 != 0), 0.5)
+    requests = spark.createDataFrame([(i, "deadline" if i == 6 else None) for i in range(12)], "request_id long, failure string")
+    return ranking.rerank_status(requests, docs, docs.where("request_id <> 6").withColumn("model_score", score))
+
+
 def cache_lookup(spark, d):
     """Events as requests and as entries of a cache: fresh, stale and expired results, and refreshes that failed."""
     at = F.lit(AS_OF).cast("timestamp")
@@ -483,7 +491,7 @@ def search_envelope(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows relevant_lines section_map should_capture direct_candidates task_kind page_labels extraction_sufficient decode_body assembled_results crawl_outcomes distinct_snapshots merged_text rerank cache_lookup redact_model_input scrape_document network_responses evaluation_report search_envelope"
+    names = "canonical_url citation_url evidence_id domain root_domain sensitive_key extract_urls source_adjustment source_profile tokens lexical_score lexical_rerank subject_coverage mode_for temporal_requirement categories engines query_variants normalize_date freshness version_markers normalize_heading ranking_score body_format usable_pages best_attempt cache_state chunks redact_secrets redact_pii dedup_candidates top_candidates diversified snippet_fallback top_passages page_content prefilter_passages evidence_summary latency_summary network_score html_to_text page_title page_metadata page_links flatten_props normalized_hits url_policy redact_url follow_links passages distinct_lines table_like_rows confidence searx_view evaluation_rows relevant_lines section_map should_capture direct_candidates task_kind page_labels extraction_sufficient decode_body assembled_results crawl_outcomes distinct_snapshots merged_text rerank cache_lookup redact_model_input scrape_document network_responses evaluation_report search_envelope rerank_status"
     return {n: globals()[n] for n in names.split()}
 
 

@@ -39,6 +39,7 @@ _W = r"\p{L}\p{N}\p{M}_"
 _TERM = " OR ".join(f"contains(lower(line), '{w}')" for w in _QUERY.split())
 
 MORE = {
+    "rerank_status": "SELECT r AS request_id, CASE WHEN r = 11 THEN 'empty' WHEN r = 6 THEN 'fallback:deadline' WHEN r = 3 THEN 'fallback:invalid_response' WHEN r IN (4, 5) THEN 'partial' ELSE 'ok' END AS rerank_status FROM range(12) t(r)",
     "search_envelope": f"SELECT request_id, count(*) AS number_of_results, string_agg(url, ' ' ORDER BY position) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY discovery_score DESC, ix) AS position FROM {_HITS}) WHERE position <= 12 GROUP BY request_id",
     "table_like_rows": rf"""
 SELECT doc_id, ix, line FROM ({ORACLES["distinct_lines"]})
