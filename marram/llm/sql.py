@@ -78,6 +78,21 @@ WINDOW w AS (PARTITION BY sha ORDER BY chars DESC, doc_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """
 
+#: op7: sets of shingles joined shingle by shingle, links by exact counts, components by what each document reaches.
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(l) = 0 THEN []::VARCHAR[] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM g),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT g.doc_id, any_value(len(g.g))::BIGINT AS n_shingles, min(r.b) AS component_id FROM g JOIN reached r ON r.a = g.doc_id GROUP BY g.doc_id
+"""
+
 #: op9: lines on at least ten sources go.
 OP9 = r"""
 WITH parts AS (
@@ -161,4 +176,4 @@ FROM j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op2_exact_dedup": OP2, "op9_line_spread": OP9, "op10_host_reputation": OP10}
+    return {"op1_quality_rules": OP1, "op2_exact_dedup": OP2, "op7_jaccard_join": OP7, "op9_line_spread": OP9, "op10_host_reputation": OP10}
