@@ -128,7 +128,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tagged = docs.withColumn(sha, F.sha2(normal(F.col(text_col)), 256)).withColumn(may, maybe(F.col(sha)))
     alone = tagged.where(~F.col(may)).drop(sha, may)
     chars = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     order = F.struct(-chars, F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*plain))
     again = tagged.where(F.col(may)).groupBy(sha).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias(one))
     return alone.unionByName(again.select(f"{one}.*"))

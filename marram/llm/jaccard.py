@@ -33,7 +33,9 @@ CHUNK = 500
 #: Shingles of a block of a cluster that one task indexes, about.
 BLOCK = 500_000
 #: Keys that a task holds at once.
-KEYS = 400_000
+KEYS = 100_000
+#: Shingles of all sets for each partition of their keys, and partitions at most; a partition is sorted, and spills if it must.
+PARTITION_SHINGLES, MOST_PARTITIONS = 500_000, 20_000
 #: Ids that are broadcast at most, 8 bytes each; beyond that texts are shuffled to them.
 MOST_BROADCAST = 1_000_000
 
@@ -207,7 +209,7 @@ def _entries(docs: DataFrame, n: int, sizes: Sizes, light_to: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "key long, sig long, n int, light boolean, psig long, pn int")
 
 
-def _lists(entries: DataFrame) -> DataFrame:
+def _lists(entries: DataFrame, partitions: int) -> DataFrame:
     """The entries of lists with at least two sets, each with its first: smallest n, then sig, as psig, pn.
 
     Entries that have a first go where their set does; the others, with a pn of 0, meet by key, and the first of these is
@@ -235,7 +237,7 @@ def _lists(entries: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": k, "sig": s, "n": n, "light": f, "psig": ps, "pn": pc})[keep]
             key, psig, pn, last = k[-1], ps[-1], pc[-1], s[-1]
 
-    dealt = entries.repartition(F.when(F.col("pn") == 0, F.col("key")).otherwise(F.col("sig")))
+    dealt = entries.repartition(partitions, F.when(F.col("pn") == 0, F.col("key")).otherwise(F.col("sig")))
     return dealt.sortWithinPartitions("key", "n", "sig").mapInPandas(run, "key long, sig long, n int, light boolean, psig long, pn int")
 
 
@@ -355,7 +357,9 @@ def _components(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     rows = written(_sets(docs, n), "sets")
     name = F.struct(F.col("id").isNull().alias("none"), "id", "tkey")
     classes = written(rows.where("n > 0").groupBy("sig").agg(F.min(name).alias("name")), "classes")
-    lists = written(_lists(_entries(docs, n, sizes, light_to)), "lists")
+    shingles = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, shingles // PARTITION_SHINGLES))
+    lists = written(_lists(_entries(docs, n, sizes, light_to), partitions), "lists")
     t = F.lit(threshold.numerator), F.lit(threshold.denominator)
     near = lambda a, b: F.col(a) * t[1] >= F.col(b) * t[0]  # noqa: E731  sizes that can link
     # a light list: the sets have the key's subset in common, all of one or all but one of the other
