@@ -14,6 +14,9 @@ WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
 QUOTED = re.compile(r'"([^"\r\n]{2,160})"')
 # --- fixed values: words that join an anchor, and words that are none ---
 CONNECTORS = ("and", "of", "the", "vs", "versus")
+#: Figures, capitals inside a word, or capitals alone: a word like no other.
+IDENTIFIER = re.compile(r"\d|[a-z][A-Z]|[A-Z][a-z].*[A-Z]|^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$")
+RUN = re.compile("[inIN](?:c?[inIN])*")
 EXCLUDED = frozenset((*rules.STOP_WORDS, *rules.GENERIC_INTENT_TERMS, "current", "latest", "new", "recent", "today", "tonight", "use", "using", "read", "explain", "show", "help"))
 
 
@@ -21,50 +24,42 @@ def _letters(word: str) -> str:
     return re.sub(r"[\W_]+", "", word)
 
 
-def _identifier(word: str) -> bool:
-    ascii_letters = re.sub("[^a-zA-Z]", "", word)
-    return bool(re.search(r"\d|[a-z][A-Z]|[A-Z][a-z].*[A-Z]", word)) or (len(ascii_letters) >= 2 and ascii_letters.isupper())
-
-
-def _proper(word: str) -> bool:
-    return word[:1].isupper() and word[1:].islower()
-
-
 def _count(words: list[str]) -> int:
     """Distinct tokens that count."""
     low = {w.casefold().strip("-.") for x in words for w in WORD.findall(x)}
     return sum((len(w) >= 2 or w.isdigit()) and w not in rules.STOP_WORDS for w in low)
 
 
+def _kinds(words: list[str]) -> str:
+    """A letter for each word: i an identifier, n a name (I and N if it could also connect), c a connector, f a capitalised
+    first word, and a dot for any other.
+
+    A first word is capitalised anyway; it is a name where one follows, words that could connect aside.
+    """
+
+    def kind(at: int, word: str) -> str:
+        low = word.casefold()
+        if low in EXCLUDED:
+            return "c" if low in CONNECTORS else "."
+        if IDENTIFIER.search(word):
+            return "I" if low in CONNECTORS else "i"
+        if word[0].isupper() and word[1:].islower():
+            return ("N" if low in CONNECTORS else "n") if at else "f"
+        return "c" if low in CONNECTORS else "."
+
+    return re.sub("^f(?=[cIN]*[in])", "n", "".join(kind(i, w) for i, w in enumerate(words)))
+
+
 def anchor_of(query: str | None) -> str | None:
     """The first quoted phrase; else the earliest run of names or identifiers of two tokens; else the first lone identifier."""
-    query = query or ""
-    for phrase in QUOTED.findall(query):
-        if len(_letters(phrase)) >= 2:
-            return " ".join(phrase.split())
-    raw = WORD.findall(query)
-    bare = [w.strip("-.") for w in raw]
-    low = [w.casefold() for w in raw]
-    named = [bool(b) and b.casefold() not in EXCLUDED and (_identifier(b) or (i > 0 and _proper(b))) for i, b in enumerate(bare)]
-    # a leading proper word belongs to the name that follows it
-    for i, word in enumerate(raw):
-        if not named[i] and low[i] not in EXCLUDED and _proper(word):
-            after = next((k for k in range(i + 1, len(raw)) if low[k] not in CONNECTORS), None)
-            named[i] = after is not None and named[after]
-    for start in (i for i, n in enumerate(named) if n):
-        run, i = [bare[start]], start + 1
-        while i < len(raw):
-            if named[i]:
-                run.append(bare[i])
-                i += 1
-            elif low[i] in CONNECTORS and i + 1 < len(raw) and named[i + 1]:
-                run += [low[i], bare[i + 1]]
-                i += 2
-            else:
-                break
-        if _count(run) >= 2:
-            return " ".join(run)
-    return next((bare[i] for i, n in enumerate(named) if n and _identifier(raw[i])), None)
+    quoted = (" ".join(phrase.split()) for phrase in QUOTED.findall(query or "") if len(_letters(phrase)) >= 2)
+    words = WORD.findall(query or "")
+    kinds = _kinds(words)
+    runs = (RUN.match(kinds, m.start()).span() for m in re.finditer("[inIN]", kinds))
+    said = ([w.casefold() if k == "c" else w for w, k in zip(words[a:z], kinds[a:z], strict=True)] for a, z in runs)
+    long = (" ".join(run) for run in said if _count(run) >= 2)
+    lone = (w for w, k in zip(words, kinds, strict=True) if k in "iI")
+    return next((found for ways in (quoted, long, lone) for found in ways), None)
 
 
 def _is_quoted(query: str, anchor: str) -> bool:
