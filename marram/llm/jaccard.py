@@ -32,8 +32,8 @@ CELL_COST = 4.0
 CHUNK = 500
 #: Shingles of a block of a cluster that one task indexes, about.
 BLOCK = 500_000
-#: Keys that a task holds at once.
-KEYS = 100_000
+#: Keys that a task holds at once, and from how many sets of one key on only the first of them goes on to its list.
+KEYS, HOT_SETS = 200_000, 8
 #: Shingles of all sets for each partition of their keys, and partitions at most; a partition is sorted, and spills if it must.
 PARTITION_SHINGLES, MOST_PARTITIONS = 500_000, 20_000
 #: Ids that are broadcast at most, 8 bytes each; beyond that texts are shuffled to them.
@@ -169,14 +169,16 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 def _entries(docs: DataFrame, n: int, sizes: Sizes, light_to: int) -> DataFrame:
     """(key, sig, n, light, psig, pn): keys of each set; a task gives those of a set once, however many copies it reads.
 
-    Where several of the sets that a task holds share a key of a cell, the first of them goes on to the list of the key, for
-    the others it is their first already. So a key that many sets have doesn't bring all of them to one task.
+    Where HOT_SETS or more of the sets that a task holds share a key of a cell, the first of them goes on to the list of the
+    key, for the others it is their first already. So a key that a large share of all sets has doesn't bring them to one task.
     """
 
     def listed(key: np.ndarray, sig: np.ndarray, many: np.ndarray, light: np.ndarray) -> pd.DataFrame:
         order = np.lexsort((sig, many, light, key))
         k, s, f = key[order], sig[order], light[order]
-        new = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1]) | f[1:])
+        starts = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1]))
+        sizes = np.diff(np.append(np.flatnonzero(starts), len(k)))
+        new = starts | f | np.repeat(sizes < HOT_SETS, sizes)
         first = np.empty(len(order), np.int64)
         first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         # rows stay in the order of their sets, which packs far better than that of the keys; 0 where there is no first yet
@@ -273,12 +275,19 @@ def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, kept, index = None, [], None
+        at, kept, index, up = None, [], None, {}
+
+        def top(c: int) -> int:
+            while up.get(c, c) != c:
+                up[c] = up.get(up[c], up[c])
+                c = up[c]
+            return c
+
         for b in batches:
-            out = set()
+            out = []
             for p, i, j, right, c, body in b.itertuples(index=False):
                 if (p, i, j) != at:
-                    at, kept, index = (p, i, j), [], None
+                    at, kept, index, up = (p, i, j), [], None, {}
                 h = np.frombuffer(body, np.uint64)
                 if not right:
                     kept.append((c, h))
@@ -294,9 +303,13 @@ def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -
                     spots = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
                     inter = np.bincount(owner[spots], minlength=len(kept))
                     good = (inter * t.denominator >= t.numerator * (many + len(h) - inter)) & (own != c)
-                    out |= {(min(c, x), max(c, x)) for x in own[good].tolist()}
+                    for x in set(own[good].tolist()):  # links that join nothing new in the block say nothing
+                        a, z = sorted((top(c), top(x)))
+                        if a != z:
+                            up[z] = a
+                            out.append((a, z))
             if out:
-                yield pd.DataFrame(sorted(out), columns=["a", "b"])
+                yield pd.DataFrame(out, columns=["a", "b"])
 
     names = found.select(F.col("node").alias("sig"), "component")
     own = F.coalesce("component", "sig").alias("component")
