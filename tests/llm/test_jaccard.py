@@ -60,7 +60,8 @@ def test_groups_equal_brute_force(spark):
 
 def test_many_sets_of_one_key(spark, monkeypatch):
     """Tasks that hold few keys hand out many firsts of a list, and clusters are cut into small blocks: no link is lost."""
-    monkeypatch.setattr(jaccard, "KEYS", 40)
+    monkeypatch.setattr(jaccard, "KEYS", 400)
+    monkeypatch.setattr(jaccard, "HOT_SETS", 2)
     monkeypatch.setattr(jaccard, "BLOCK", 300)
     rng = random.Random(12)
     base = [f"b{i}" for i in range(60)]
