@@ -243,10 +243,16 @@ def _lists(entries: DataFrame, partitions: int) -> DataFrame:
     return dealt.sortWithinPartitions("key", "n", "sig").mapInPandas(run, "key long, sig long, n int, light boolean, psig long, pn int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets are similar enough.
+def _chunked(pairs: DataFrame) -> DataFrame:
+    """(a, b, chunk): the pairs of a hub a in portions of about CHUNK, so that no task gets all of them."""
+    hubs = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "hubs")
+    return written(skew_join(pairs, hubs, "a").select("a", "b", F.pmod(F.hash("b"), F.col("chunks")).alias("chunk")), "chunked")
+
 
-    sets is (sig, body). The set of a hub a is sent once for each CHUNK of its partners, so no task gets all of them.
+def _verified(chunked: DataFrame, second: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Those of the distinct pairs (a, b, chunk) whose whole sets are similar enough.
+
+    second is the pairs with the set of b as hb, sets is (sig, body). The set of a is sent once for each of its portions.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,10 +265,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                 good[i] = linked(int((both[1:] == both[:-1]).sum()), len(p), len(q), t)
             yield x.loc[good, ["a", "b"]]
 
-    hubs = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "hubs")
-    first = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(sets.select(F.col("sig").alias("a"), F.col("body").alias("ha")), "a")
-    dealt = skew_join(pairs, hubs, "a").select("a", "b", F.pmod(F.hash("b"), F.col("chunks")).alias("chunk"))
-    second = dealt.join(sets.select(F.col("sig").alias("b"), F.col("body").alias("hb")), "b")
+    first = chunked.select("a", "chunk").distinct().join(sets.select(F.col("sig").alias("a"), F.col("body").alias("ha")), "a")
     return second.join(first, ["a", "chunk"]).select("a", "b", "ha", "hb").mapInPandas(run, "a long, b long")
 
 
@@ -338,16 +341,17 @@ def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -
 
 
 def _bodies(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
-    """(sig, body) for names (id, tkey, sig): the sets of these rows, computed again from their texts."""
+    """(sig, a, chunk, body) for names (id, tkey, sig, a, chunk): the sets of these rows, computed again from their texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"sig": b["sig"], "body": [shingle_set(t, n).tobytes() for t in b["text"]]})
+            yield b[["sig", "a", "chunk"]].assign(body=[shingle_set(t, n).tobytes() for t in b["text"]])
 
-    names = names.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), "sig")
+    names = names.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), "sig", "a", "chunk")
     same = (F.col("tkey") == F.col("_tkey")) & F.col("id").eqNullSafe(F.col("_id"))
     few = names.count() <= MOST_BROADCAST
-    out = written(docs.join(F.broadcast(names) if few else names, same).select("sig", "text").mapInPandas(run, "sig long, body binary"), "bodies")
+    rows = docs.join(F.broadcast(names) if few else names, same).select("sig", F.coalesce("a", "sig").alias("a"), F.coalesce("chunk", F.lit(-1)).alias("chunk"), "text")
+    out = written(rows.mapInPandas(run, "sig long, a long, chunk int, body binary"), "bodies")
     return out.dropDuplicates(["sig"]) if out.count() > names.count() else out  # rows may be repeated
 
 
@@ -381,19 +385,25 @@ def _components(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     sure = sure.select(F.col("psig").alias("a"), F.col("sig").alias("b"))
     heavy = lists.where(~F.col("light"))
     pairs = written(heavy.where(near("pn", "n")).select(F.col("psig").alias("a"), F.col("sig").alias("b")).distinct(), "pairs")
+    # one pair for each set first: most of the others then lie within a component, and their sets needn't move; a set is
+    # computed with its pair beside it, so it moves once
+    one = _chunked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     ends = heavy.select("sig").union(heavy.select(F.col("psig").alias("sig"))).distinct()
-    bodies = _bodies(docs, written(classes.join(ends, "sig").select("name.id", "name.tkey", "sig"), "ends"), n)
-    # one pair for each set first: most of the others then lie within a component, and their sets needn't move
-    one = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
-    found = written(components(written(_verified(one, bodies, threshold).union(sure).distinct(), "links")), "components")
-    rest = pairs.join(one, ["a", "b"], "left_anti")
+    names = classes.join(ends, "sig").join(one.withColumnRenamed("b", "sig"), "sig", "left")
+    bodies = _bodies(docs, written(names.select("name.id", "name.tkey", "sig", "a", "chunk"), "ends"), n)
+    sets = bodies.select("sig", "body")
+    linked_ones = _verified(one, bodies.where("chunk >= 0").select("a", F.col("sig").alias("b"), "chunk", F.col("body").alias("hb")), sets, threshold)
+    found = written(components(written(linked_ones.union(sure).distinct(), "links")), "components")
+    rest = pairs.join(one.select("a", "b"), ["a", "b"], "left_anti")
     for end in ("a", "b"):
         rest = skew_join(written(rest, "rest"), found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end)
         rest = rest.withColumn(f"c{end}", F.coalesce(f"c{end}", end))
     rest = written(rest.where("ca <> cb"), "across")
-    links = _verified(rest.select("a", "b"), bodies, threshold).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    more = _chunked(rest.select("a", "b"))
+    second = more.join(sets.select(F.col("sig").alias("b"), F.col("body").alias("hb")), "b")
+    links = _verified(more, second, sets, threshold).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     found = _widened(found, written(links.distinct(), "links"))
-    found = _widened(found, written(_joins(heavy, found, bodies, threshold), "joins"))
+    found = _widened(found, written(_joins(heavy, found, sets, threshold), "joins"))
     # the least name of a component's classes
     named = classes.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = written(named, "named")
