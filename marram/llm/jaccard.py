@@ -441,7 +441,9 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10),
     found = written(_components(_keyed(docs, id_col, text_col), n, threshold).select(F.col("id").alias(gone), F.col("tkey").alias(tkey), "n", "kept"), "kept")
     rows = docs.withColumn(own, F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(tkey))
-    out = rows.join(found.where(~F.col("kept")).select(gone, tkey).distinct(), same, "left_anti")
+    # a written table has a known size: where it is small it is broadcast and the texts don't move
+    drop = written(found.where(~F.col("kept")).select(gone, tkey).distinct(), "near")
+    out = rows.join(drop, same, "left_anti")
     again = written(found.where("kept and n > 0").groupBy(gone, tkey).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     if not again.isEmpty():  # rows with the same id and text
         out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col, own]))
