@@ -33,7 +33,7 @@ CHUNK = 500
 #: Shingles of a block of a cluster that one task indexes, about.
 BLOCK = 500_000
 #: Keys that a task holds at once, and from how many sets of one key on only the first of them goes on to its list.
-KEYS, HOT_SETS = 200_000, 8
+KEYS, HOT_SETS = 100_000, 8
 #: Shingles of all sets for each partition of their keys, and partitions at most; a partition is sorted, and spills if it must.
 PARTITION_SHINGLES, MOST_PARTITIONS = 500_000, 20_000
 #: Ids that are broadcast at most, 8 bytes each; beyond that texts are shuffled to them.
