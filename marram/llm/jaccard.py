@@ -9,11 +9,15 @@ The boundary is where the subsets of a size cost more than its cells. A list isn
 against the others (exactly, on the whole sets), and links join components. Where sets of a list then lie in different
 components, those outside the main one are held against all in blocks, which hand out joined components only. So all links
 between different texts count, and no table of a group's pairs is made.
+
+Most sets with a common cell aren't linked: they share a passage. So sketches, a bit or two a shingle, go first: the bits in
+which those of two sets differ are no more than the shingles in which the sets do, so where they are too many there is no
+link, and only sets that a sketch leaves a partner move as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from math import exp, floor, sqrt
 
@@ -32,6 +36,8 @@ CELL_COST = 4.0
 CHUNK = 500
 #: Shingles of a block of a cluster that one task indexes, about.
 BLOCK = 500_000
+#: So many times larger are blocks of sketches, which have 2 bits a shingle at most where sets have 64.
+SKETCH_BLOCKS = 16
 #: Keys that a task holds at once, and from how many sets of one key on only the first of them goes on to its list.
 KEYS, HOT_SETS = 100_000, 8
 #: Shingles of all sets for each partition of their keys, and partitions at most; a partition is sorted, and spills if it must.
@@ -69,6 +75,29 @@ def set_id(h: np.ndarray) -> int:
         return int(mixed(h + _MIX[0]).sum(dtype=np.uint64).astype(np.int64))
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Words of 64 bits, a power of two of them and at least a bit a shingle: the parity of the shingles that a bit gets."""
+    words = 1 << max(0, (len(h) - 1) // 64).bit_length()
+    at = (mixed(h + _MIX[2]) % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """Sketches (last axis) as those of n words, which they have or more."""
+    while words.shape[-1] > n:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def may_link(p: np.ndarray, q: np.ndarray, sizes: np.ndarray | int, t: Fraction) -> np.ndarray | bool:
+    """Whether sets of these sketches can link, sizes being the sum of their sizes: a shingle that one of them lacks changes
+    one bit, so the sets differ in as many shingles as their sketches in bits at least, and linked ones in few."""
+    n = min(p.shape[-1], q.shape[-1])
+    differ = np.bitwise_count(folded(p, n) ^ folded(q, n)).sum(axis=-1, dtype=np.int64)
+    return differ * (t.denominator + t.numerator) <= sizes * (t.denominator - t.numerator)
+
+
 class Sizes:
     """What follows from the threshold: partners' sizes, misses, groups of sizes with their cells, the boundary."""
 
@@ -156,14 +185,14 @@ def linked(inter: int, a: int, b: int, t: Fraction) -> bool:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, tkey, n, sig) of each row."""
+    """(id, tkey, n, sig, sketch) of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [shingle_set(t, n) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "tkey": b["tkey"], "n": np.array([len(h) for h in found], np.int64), "sig": np.array([set_id(h) for h in found], np.int64)})
+            yield pd.DataFrame({"id": b["id"], "tkey": b["tkey"], "n": np.array([len(h) for h in found], np.int64), "sig": np.array([set_id(h) for h in found], np.int64), "sketch": [sketch(h).tobytes() for h in found]})
 
-    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, tkey long, n long, sig long")
+    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, tkey long, n long, sig long, sketch binary")
 
 
 def _entries(docs: DataFrame, n: int, sizes: Sizes, light_to: int) -> DataFrame:
@@ -249,6 +278,23 @@ def _chunked(pairs: DataFrame) -> DataFrame:
     return written(skew_join(pairs, hubs, "a").select("a", "b", F.pmod(F.hash("b"), F.col("chunks")).alias("chunk")), "chunked")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
+    """Those of the distinct pairs (a, b) that can link by their sketches (sig, n, sketch)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            good = np.zeros(len(x), bool)
+            for i, (p, q, n) in enumerate(zip(x["pa"], x["pb"], x["sizes"], strict=True)):
+                good[i] = may_link(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), n, t)
+            yield x.loc[good, ["a", "b"]]
+
+    end = lambda c: sketches.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"p{c}"))
+    chunked = _chunked(pairs)
+    first = chunked.select("a", "chunk").distinct().join(end("a"), "a")
+    both = chunked.join(end("b"), "b").join(first, ["a", "chunk"])
+    return both.select("a", "b", "pa", "pb", (F.col("na") + F.col("nb")).alias("sizes")).mapInPandas(run, "a long, b long")
+
+
 def _verified(chunked: DataFrame, second: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Those of the distinct pairs (a, b, chunk) whose whole sets are similar enough.
 
@@ -269,12 +315,79 @@ def _verified(chunked: DataFrame, second: DataFrame, sets: DataFrame, t: Fractio
     return second.join(first, ["a", "chunk"]).select("a", "b", "ha", "hb").mapInPandas(run, "a long, b long")
 
 
-def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -> DataFrame:
+def _blocked(members: DataFrame, bodies: DataFrame, block: int) -> DataFrame:
+    """(psig, i, j, right, component, sig, n, body): of each cluster, the sets outside its main component against all its
+    sets, in blocks of about so many shingles; members is (psig, sig, n, component), bodies (sig, body)."""
+    counts = members.groupBy("psig", "component").agg(F.sum("n").alias("m"))
+    counts = counts.groupBy("psig").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("component", F.struct("m", "component")).alias("main"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    counts = counts.select("psig", "main", blocks(F.col("all")).alias("rights"), blocks(F.col("all") - F.col("most")).alias("lefts"))
+    rows = skew_join(members, written(counts, "clusters"), "psig")
+    own = lambda n: F.pmod(F.hash("sig"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    # a cluster within one component has no left block
+    right = rows.where("lefts > 0").select("psig", every(F.col("lefts")).alias("i"), own(F.col("rights")).alias("j"), F.lit(True).alias("right"), "component", "sig", "n")
+    left = rows.where("component <> main").select("psig", own(F.col("lefts")).alias("i"), every(F.col("rights")).alias("j"), F.lit(False).alias("right"), "component", "sig", "n")
+    both = right.unionByName(left).join(bodies, "sig").select("psig", "i", "j", "right", "component", "sig", "n", "body")
+    return both.repartition("psig", "i", "j").sortWithinPartitions("psig", "i", "j", "right")
+
+
+def _partners(members: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
+    """(psig, sig): sets of clusters that can link, by their sketches, with a set of another component of the cluster.
+
+    No pairs come out, so however many sets are like each other there is a row for each of them at most.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept, index, out = None, [], None, set()
+
+        def indexed() -> list[list]:
+            """Lefts by the length of their sketches: (sizes in order, ids, components, sketches, whether they have a partner)."""
+            levels: dict[int, list] = {}
+            for row in sorted(kept, key=lambda x: x[0]):
+                levels.setdefault(len(row[3]), []).append(row)
+            return [[*map(np.array, list(zip(*x, strict=True))[:3]), np.stack([w for *_, w in x]), np.zeros(len(x), bool)] for x in levels.values()]
+
+        def done() -> list[tuple[int, int]]:
+            found = out | {s for _, sig, _, _, live in index or [] for s in sig[live].tolist()}
+            return [(at[0], s) for s in found]
+
+        for b in batches:
+            rows = []
+            for p, i, j, right, c, sig, n, body in b.itertuples(index=False):
+                if (p, i, j) != at:
+                    if at:
+                        rows += done()
+                    at, kept, index, out = (p, i, j), [], None, set()
+                words = np.frombuffer(body, np.uint64)
+                if not right:
+                    kept.append((n, sig, c, words))
+                    continue
+                index = indexed() if index is None else index
+                for sizes, _, component, sketched, live in index:
+                    lo = np.searchsorted(sizes, -(-n * t.numerator // t.denominator))
+                    hi = np.searchsorted(sizes, n * t.denominator // t.numerator, side="right")
+                    if lo < hi:
+                        good = may_link(sketched[lo:hi], words, sizes[lo:hi] + n, t) & (component[lo:hi] != c)
+                        if good.any():
+                            live[lo:hi] |= good
+                            out.add(sig)
+            if rows:
+                yield pd.DataFrame(rows, columns=["psig", "sig"])
+        if at and (rows := done()):
+            yield pd.DataFrame(rows, columns=["psig", "sig"])
+
+    rows = _blocked(members, sketches.select("sig", F.col("sketch").alias("body")), BLOCK * SKETCH_BLOCKS)
+    return rows.mapInPandas(run, "psig long, sig long").distinct()
+
+
+def _joins(heavy: DataFrame, found: DataFrame, sketches: DataFrame, bodies: Callable[[DataFrame], DataFrame], t: Fraction) -> DataFrame:
     """(a, b): components that links join which the first of the lists don't show.
 
-    Lists whose other sets lie in several components are still open; those with the same first make a cluster. Of a
-    cluster, the sets outside its main component are held against all its sets, BLOCK by BLOCK: a task indexes the
-    shingles of a block and runs the other block's sets over it, and only joined components come out, no pairs.
+    Lists whose other sets lie in several components are still open; those with the same first make a cluster. Sets that by
+    their sketches link with none of another component leave it. Of what stays, the sets outside the main component are
+    held against all, BLOCK by BLOCK: a task indexes the shingles of a block and runs the other block's sets over it, and
+    only joined components come out, no pairs. bodies gives the sets (sig, body) of a table of names (sig).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,7 +401,7 @@ def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -
 
         for b in batches:
             out = []
-            for p, i, j, right, c, body in b.itertuples(index=False):
+            for p, i, j, right, c, _, _, body in b.itertuples(index=False):
                 if (p, i, j) != at:
                     at, kept, index, up = (p, i, j), [], None, {}
                 h = np.frombuffer(body, np.uint64)
@@ -326,18 +439,9 @@ def _joins(heavy: DataFrame, found: DataFrame, bodies: DataFrame, t: Fraction) -
     keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("pn", "psig")).alias("first")).where("lo <> hi")
     members = skew_join(members.drop("psig", "pn"), written(keys.select("key", F.col("first.psig").alias("psig")), "open-keys"), "key", "inner")
     members = written(members.select("psig", "sig", "n", "component").distinct(), "open")
-    counts = members.groupBy("psig", "component").agg(F.sum("n").alias("m"))
-    counts = counts.groupBy("psig").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("component", F.struct("m", "component")).alias("main"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    counts = counts.select("psig", "main", blocks(F.col("all")).alias("rights"), blocks(F.col("all") - F.col("most")).alias("lefts"))
-    rows = skew_join(members, written(counts, "clusters"), "psig")
-    own = lambda n: F.pmod(F.hash("sig"), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    right = rows.select("psig", every(F.col("lefts")).alias("i"), own(F.col("rights")).alias("j"), F.lit(True).alias("right"), "component", "sig")
-    left = rows.where("component <> main").select("psig", own(F.col("lefts")).alias("i"), every(F.col("rights")).alias("j"), F.lit(False).alias("right"), "component", "sig")
-    both = right.unionByName(left).join(bodies, "sig").select("psig", "i", "j", "right", "component", "body")
-    both = both.repartition("psig", "i", "j").sortWithinPartitions("psig", "i", "j", "right")
-    return both.mapInPandas(run, "a long, b long").distinct()
+    live = written(_partners(members, sketches, t), "live")
+    members = written(members.join(live, ["psig", "sig"]).select("psig", "sig", "n", "component"), "live-members")
+    return _blocked(members, bodies(live.select("sig").distinct()), BLOCK).mapInPandas(run, "a long, b long").distinct()
 
 
 def _bodies(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
@@ -373,7 +477,9 @@ def _components(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     light_to = sizes.boundary()
     rows = written(_sets(docs, n), "sets")
     name = F.struct(F.col("id").isNull().alias("none"), "id", "tkey")
-    classes = written(rows.where("n > 0").groupBy("sig").agg(F.min(name).alias("name")), "classes")
+    classes = written(rows.where("n > 0").groupBy("sig").agg(F.min(name).alias("name"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
+    sketches, classes = classes.select("sig", "n", "sketch"), classes.select("sig", "name")
+    rows = rows.drop("sketch")
     shingles = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, shingles // PARTITION_SHINGLES))
     lists = written(_lists(_entries(docs, n, sizes, light_to), partitions), "lists")
@@ -385,10 +491,11 @@ def _components(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     sure = sure.select(F.col("psig").alias("a"), F.col("sig").alias("b"))
     heavy = lists.where(~F.col("light"))
     pairs = written(heavy.where(near("pn", "n")).select(F.col("psig").alias("a"), F.col("sig").alias("b")).distinct(), "pairs")
+    pairs = written(_possible(pairs, sketches, threshold), "possible")
     # one pair for each set first: most of the others then lie within a component, and their sets needn't move; a set is
     # computed with its pair beside it, so it moves once
     one = _chunked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    ends = heavy.select("sig").union(heavy.select(F.col("psig").alias("sig"))).distinct()
+    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     names = classes.join(ends, "sig").join(one.withColumnRenamed("b", "sig"), "sig", "left")
     bodies = _bodies(docs, written(names.select("name.id", "name.tkey", "sig", "a", "chunk"), "ends"), n)
     sets = bodies.select("sig", "body")
@@ -403,7 +510,12 @@ def _components(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     second = more.join(sets.select(F.col("sig").alias("b"), F.col("body").alias("hb")), "b")
     links = _verified(more, second, sets, threshold).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     found = _widened(found, written(links.distinct(), "links"))
-    found = _widened(found, written(_joins(heavy, found, sets, threshold), "joins"))
+
+    def others(live: DataFrame) -> DataFrame:
+        names = classes.join(live, "sig").select("name.id", "name.tkey", "sig", F.lit(None).cast("long").alias("a"), F.lit(None).cast("int").alias("chunk"))
+        return _bodies(docs, written(names, "others"), n).select("sig", "body")
+
+    found = _widened(found, written(_joins(heavy, found, sketches, others, threshold), "joins"))
     # the least name of a component's classes
     named = classes.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = written(named, "named")
@@ -441,9 +553,9 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10),
     found = written(_components(_keyed(docs, id_col, text_col), n, threshold).select(F.col("id").alias(gone), F.col("tkey").alias(tkey), "n", "kept"), "kept")
     rows = docs.withColumn(own, F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(tkey))
-    # a written table has a known size: where it is small it is broadcast and the texts don't move
+    # where these are few they are broadcast and the texts don't move
     drop = written(found.where(~F.col("kept")).select(gone, tkey).distinct(), "near")
-    out = rows.join(drop, same, "left_anti")
+    out = rows.join(F.broadcast(drop) if drop.count() <= MOST_BROADCAST else drop, same, "left_anti")
     again = written(found.where("kept and n > 0").groupBy(gone, tkey).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     if not again.isEmpty():  # rows with the same id and text
         out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col, own]))

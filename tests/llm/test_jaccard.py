@@ -126,3 +126,35 @@ def test_linked_sets_share_a_key(s, data):
 
     keys = [set(jaccard.keys_of(np.sort(np.array(sorted(x), np.uint64)), sizes, sizes.boundary(), {})[0].tolist()) for x in (a, b)]
     assert keys[0] & keys[1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 700), st.integers(0, 700), st.integers(0, 700), st.integers(0, 10**6))
+def test_sketches_refuse_no_link(both, one, other, seed):
+    """Sketches of sets differ in no more bits than the sets in shingles, of whatever sizes; sets with a common passage only are refused."""
+    import numpy as np
+
+    rng = random.Random(seed)
+    pool = [rng.getrandbits(64) for _ in range(both + one + other)]
+    a, b = (np.sort(np.array(x, np.uint64)) for x in (pool[: both + one], pool[:both] + pool[both + one :]))
+    p, q = jaccard.sketch(a), jaccard.sketch(b)
+    n = min(len(p), len(q))
+    assert int(np.bitwise_count(jaccard.folded(p, n) ^ jaccard.folded(q, n)).sum()) <= one + other
+    for t in (Fraction(9, 10), Fraction(8, 10)):
+        if jaccard.linked(both, len(a), len(b), t):
+            assert jaccard.may_link(p, q, len(a) + len(b), t)
+        if both + one >= 100 and one >= 9 * both and other >= 9 * both:
+            assert not jaccard.may_link(p, q, len(a) + len(b), t)
+
+
+def test_sets_with_a_common_passage_do_not_move(spark, monkeypatch):
+    """Documents that share a passage but aren't linked have cells in common; their whole sets are computed for none of them."""
+    moved, real = [], jaccard._bodies
+    monkeypatch.setattr(jaccard, "_bodies", lambda docs, names, n: (moved.append(names.count()), real(docs, names, n))[1])
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join([*(f"w{rng.randint(0, 10**6)}" for _ in range(90)), passage]) for _ in range(60)]
+    texts += [texts[0] + " end", texts[1] + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.similar_groups(docs, 5, Fraction(8, 10)).collect())) == brute(texts, 5, Fraction(8, 10))
+    assert sum(moved) <= 4
