@@ -10,7 +10,7 @@ from marram.functions.text import has, squeeze, text
 
 
 def mode_for(query: Column, requested: Column) -> Column:
-    words = F.size(F.filter(F.split(text(query), r"(?U)\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(text(query), r"[\t\n\f\r ]+"), lambda w: w != ""))
     auto = F.when(has(query, "technical") | has(query, "recommendation"), "balanced").when(words <= 9, "quick").otherwise("balanced")
     return F.when(requested != "auto", requested).otherwise(auto)
 
