@@ -259,7 +259,7 @@ def html_to_text(spark, d):
 
 
 def page_title(spark, d):
-    return _read(spark, d).select("page_id", F.col("p.declared.title").alias("title"))
+    return table(spark, d, "pages").select("page_id", html.title_element(F.col("html")).alias("title"))
 
 
 def page_metadata(spark, d):

@@ -27,3 +27,11 @@ def test_intents(spark, tmp_path, name):
     texts += ["".join(rng.choice(["api", "fix", "server", "best", "log", "latest", "stack trace", "x"]) + rng.choice([" ", "é", " ", "_", "ß", "\n", "1", "."]) for _ in range(rng.randint(1, 11))) for _ in range(200)]
     spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert differences(spark, tmp_path, "conversations", name) == ([], [], 0)
+
+
+def test_titles(spark, tmp_path):
+    """Quotes, references that are cut or not among the four, several titles, other cases, white space, long and no titles."""
+    titles = ["<title>a &quot;b&quot; &lt;i&gt; &amp;amp;</title>", "<title>x&&&amp</title>", "<title>&eacute; &#39;</title>", "<TITLE>x</TITLE>", "<title lang=en>x</title>", "<title>a</title><title>b</title>", "<title>\n a \t b\x0bc  </title>", "<title>" + "é " * 400 + "</title>", "<title>" + "a" * 499 + " b</title>", "<title> </title>", "<title>open", "<title>a<b>c</b></title>", "", None]
+    titles += ["<title>a\U0001f600́" + "\U0001f468‍\U0001f469" * 300 + "</title>", "<script><title>s</title></script><title>t</title>"]
+    spark.createDataFrame([(i, "https://a.example.com/", t) for i, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert differences(spark, tmp_path, "pages", "page_title") == ([], [], 0)
